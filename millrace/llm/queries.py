@@ -5,10 +5,18 @@ from __future__ import annotations
 from .media import media_columns
 from .mixing import mix_sources
 from .packing import pack_documents
+from .quality import quality_rules, train
 from .secrets import secret_spans
 from .shared import documents
 
+
+def _quality(spark, sf):
+    docs = documents(spark, sf)
+    return quality_rules(docs, train(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+
 QUERIES = {
+    "op1_quality_rules": _quality,
     "op3_secret_scans": lambda spark, sf: secret_spans(documents(spark, sf)),
     "op6_mixing": lambda spark, sf: mix_sources(documents(spark, sf)),
     "op9_packing": lambda spark, sf: pack_documents(documents(spark, sf)),
