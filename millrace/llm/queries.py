@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html import extract_pages
 from .media import media_columns
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -19,6 +20,7 @@ QUERIES = {
     "op1_quality_rules": _quality,
     "op3_secret_scans": lambda spark, sf: secret_spans(documents(spark, sf)),
     "op6_mixing": lambda spark, sf: mix_sources(documents(spark, sf)),
+    "op7_html_extraction": lambda spark, sf: extract_pages(spark.read.parquet(f"{sf}/pages.parquet")),
     "op9_packing": lambda spark, sf: pack_documents(documents(spark, sf)),
     "op10_media": lambda spark, sf: media_columns(documents(spark, sf)),
 }
