@@ -1,10 +1,61 @@
-"""A corpus made ready for training, stage by stage."""
+"""A corpus made ready for training, stage by stage.
+
+Each stage takes what its predecessor kept, with the columns of ``documents``;
+the last one packs.  Stages use the operators of ``millrace.llm`` as the
+registered queries do.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.minhash import near_duplicates
+from millrace.llm.mixing import mix_sources
+from millrace.llm.packing import pack_documents
+from millrace.llm.quality import keep_quality, train
+from millrace.llm.secrets import redact_secrets
+from millrace.llm.shared import documents, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or the trees reject go."""
+    return keep_quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates its least id stays, once; documents without an id stay."""
+    stay = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    once = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are blanked out of the texts; all documents stay."""
+    return redact_secrets(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; a document without an id goes by its text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keyed = docs.withColumn("_key", key)
+    copies = mix_sources(keyed, id_col="_key").filter("taken > 0").groupBy("_key").agg(F.max(F.expr("cast(taken div size as int)")).alias("_copies"))
+    return keyed.join(copies, "_key").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 1024 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
+
+#: Trees, MinHash components, dependent rounding and packing have no SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

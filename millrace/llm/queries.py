@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .html import extract_pages
 from .media import media_columns
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import quality_rules, train
@@ -18,6 +19,7 @@ def _quality(spark, sf):
 
 QUERIES = {
     "op1_quality_rules": _quality,
+    "op2_minhash_dedup": lambda spark, sf: near_duplicates(documents(spark, sf)),
     "op3_secret_scans": lambda spark, sf: secret_spans(documents(spark, sf)),
     "op6_mixing": lambda spark, sf: mix_sources(documents(spark, sf)),
     "op7_html_extraction": lambda spark, sf: extract_pages(spark.read.parquet(f"{sf}/pages.parquet")),
