@@ -10,6 +10,7 @@ from .packing import pack_documents
 from .quality import quality_rules, train
 from .secrets import secret_spans
 from .shared import documents
+from .substrings import substring_dedup
 
 
 def _quality(spark, sf):
@@ -21,6 +22,7 @@ QUERIES = {
     "op1_quality_rules": _quality,
     "op2_minhash_dedup": lambda spark, sf: near_duplicates(documents(spark, sf)),
     "op3_secret_scans": lambda spark, sf: secret_spans(documents(spark, sf)),
+    "op4_substring_dedup": lambda spark, sf: substring_dedup(documents(spark, sf)),
     "op6_mixing": lambda spark, sf: mix_sources(documents(spark, sf)),
     "op7_html_extraction": lambda spark, sf: extract_pages(spark.read.parquet(f"{sf}/pages.parquet")),
     "op9_packing": lambda spark, sf: pack_documents(documents(spark, sf)),
