@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .html import extract_pages
+from .longmatches import long_match_dedup
 from .media import media_columns
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -23,6 +24,7 @@ QUERIES = {
     "op2_minhash_dedup": lambda spark, sf: near_duplicates(documents(spark, sf)),
     "op3_secret_scans": lambda spark, sf: secret_spans(documents(spark, sf)),
     "op4_substring_dedup": lambda spark, sf: substring_dedup(documents(spark, sf)),
+    "op5_run_length_index": lambda spark, sf: long_match_dedup(documents(spark, sf)),
     "op6_mixing": lambda spark, sf: mix_sources(documents(spark, sf)),
     "op7_html_extraction": lambda spark, sf: extract_pages(spark.read.parquet(f"{sf}/pages.parquet")),
     "op9_packing": lambda spark, sf: pack_documents(documents(spark, sf)),
