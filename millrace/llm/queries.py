@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .brown import score_documents
 from .html import extract_pages
 from .longmatches import long_match_dedup
 from .media import media_columns
@@ -27,6 +28,7 @@ QUERIES = {
     "op5_run_length_index": lambda spark, sf: long_match_dedup(documents(spark, sf)),
     "op6_mixing": lambda spark, sf: mix_sources(documents(spark, sf)),
     "op7_html_extraction": lambda spark, sf: extract_pages(spark.read.parquet(f"{sf}/pages.parquet")),
+    "op8_brown_scores": lambda spark, sf: score_documents(documents(spark, sf)),
     "op9_packing": lambda spark, sf: pack_documents(documents(spark, sf)),
     "op10_media": lambda spark, sf: media_columns(documents(spark, sf)),
 }
