@@ -168,13 +168,12 @@ def strict(result: Expr, *args: Expr) -> Expr:
     """``result`` after each argument has been computed, so that none of their errors is skipped.
 
     Spark may leave out arguments that don't matter any more, as in FALSE AND x.
-    A struct of all arguments is computed first and tested for null, which it
-    never is.
+    An array of all arguments is made first, and its size looked at.
     """
     if not args:
         return result
-    seen = F.struct(*(a.column.alias(f"c{i}") for i, a in enumerate(args)))
-    return Expr(F.when(F.xxhash64(seen).isNotNull(), result.column), result.type, result.nullable)
+    seen = F.size(F.array(*(a.column.cast("string") for a in args)))
+    return Expr(F.when(seen >= 0, result.column), result.type, result.nullable)
 
 
 def not_(a: Expr) -> Expr:

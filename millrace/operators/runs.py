@@ -21,15 +21,15 @@ class RunError(Exception):
 @contextlib.contextmanager
 def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
     """Jobs started inside can be cancelled by ``tag`` from any thread."""
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     try:
         yield
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
 def cancel(spark: SparkSession, tag: str) -> None:
-    spark.interruptTag(tag)
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 @contextlib.contextmanager

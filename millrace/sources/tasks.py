@@ -32,7 +32,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Task]:
         return [_Task(t) for t in self.tasks]
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no tasks at all
+            return
         for batch in load(self.reader)(partition.value, self.columns):
             yield batch.select(self.columns)
 
