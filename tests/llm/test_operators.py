@@ -1,0 +1,474 @@
+"""Each operator against a plain version, over awkward rows, an empty table and the smallest tables."""
+
+from __future__ import annotations
+
+import hashlib
+import html as H
+import json
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import anchors, brown, components, html, longmatches, media, minhash, mixing, packing, quality, rindex, secrets, substrings
+from millrace.llm.words import Words, chunks, text_bytes
+
+from . import plain
+
+SHA = lambda b: hashlib.sha256(b).hexdigest()
+
+
+def rows(df, *cols):
+    return [tuple(r) for r in df.select(*cols).collect()]
+
+
+def by_id(df):
+    out = defaultdict(list)
+    for r in df.collect():
+        out[r[0]].append(r)
+    return out
+
+
+# words
+
+
+def test_words_match_the_pattern():
+    texts = [None, "", " ", "a", " a\x0bb\x0c", "é ü", "x" * 10, "a\nb", "end "]
+    w = Words(*text_bytes(pa.array(texts)))
+    flat = [w.data[a:b].tobytes().decode() for a, b in zip(w.starts, w.ends)]
+    assert flat == [x for t in texts for x in plain.words(t)]
+    assert list(w.counts()) == [len(plain.words(t)) for t in texts]
+    assert [len(b) for b in chunks([pa.RecordBatch.from_pydict({"text": ["aa", "bbbb", "c", None]})], limit=3)] == [1, 1, 2]
+
+
+def test_runs_find_every_repeat():
+    rng = np.random.default_rng(3)
+    units = rng.integers(0, 4, 400).astype(np.uint64) + np.uint64(1)
+    first = np.array([0, 150, 150, 155, 400])
+    r = anchors.runs_of(anchors.Prefix(units), first, 12, 5)
+    windows = {}
+    for t, s, n, a in zip(r.text, r.start, r.windows, r.anchor):
+        for k in range(s, s + n):
+            assert k + 12 <= first[t + 1]
+            windows[k] = a
+            same = [j for j in windows if (units[j : j + 12] == units[k : k + 12]).all()]
+            assert len({windows[j] for j in same}) == 1
+    assert len(windows) == sum(max(0, b - a - 11) for a, b in zip(first, first[1:]))
+
+
+# 1 quality
+
+
+def test_quality_counts(edge_docs, edge_rows, no_docs):
+    model = quality.Trees(start=5.0)
+    got = by_id(quality.quality_rules(edge_docs, model))
+    for i, text, _ in edge_rows:
+        want = plain.quality_counts(text)
+        failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
+        for r in got[i]:
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+            assert (r.base_failed, r.kept) == (failed, not failed)
+    assert quality.quality_rules(no_docs, model).count() == 0
+    kept = quality.keep_quality(edge_docs, model)
+    assert kept.columns == edge_docs.columns and kept.count() == sum(r.kept for v in got.values() for r in v)
+
+
+def test_trees_learn_and_stay_monotonic():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 3))
+    y = ((x[:, 0] < 0.6) & (x[:, 1] > 0.2)).astype(float)
+    m = quality.fit(x[:2000], y[:2000], falling=(0,))
+    assert (m.probability(x[2000:]).round() == y[2000:]).mean() > 0.97
+    grid = np.linspace(0, 1, 200)
+    for other in rng.random((20, 3)):
+        line = np.tile(other, (200, 1))
+        line[:, 0] = grid
+        assert (np.diff(m.margin(line)) <= 1e-12).all()
+    assert quality.fit(x[:0], y[:0]).probability(x[:2]).min() > 0.99
+    assert quality.fit(x, np.ones(3000)).probability(x[:2]).min() > 0.99
+
+
+def test_quality_on_held_out_labels(spark, sf):
+    """Trained on part of the labels, the trees reject what the others call bad and keep what they call good."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1").select("doc_id", "quality")
+    out = quality.quality_rules(docs, quality.train(docs, a)).filter("not base_failed").join(b, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in out}
+    assert n.get((1, True), 0) >= 0.95 * (n.get((1, True), 0) + n.get((1, False), 0))
+    assert quality.train(docs, labels.limit(0)).start == 20.0
+
+
+# 2 near-duplicates
+
+
+def near(text, k):
+    w = text.split()
+    w[len(w) // 2 : len(w) // 2 + k] = [f"other{k}"] * k
+    return " ".join(w)
+
+
+def test_near_duplicates(spark, edge_docs, edge_rows, no_docs):
+    base = " ".join(f"w{k * k % 997}" for k in range(300))
+    planted = [(8000 + k, near(base, k), None) for k in range(0, 60, 4)] + [(8100 + k, near(base, 5).replace("w1 ", f"q{k} "), None) for k in range(6)]
+    docs = edge_docs.select("doc_id", "text", "source", "n_words", "key", "u").unionByName(spark.createDataFrame(planted, "doc_id long, text string, source string"), allowMissingColumns=True)
+    all_rows = edge_rows + planted
+    sets = {i: plain.shingles(t) for i, t, _ in all_rows if i is not None}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    comp = plain.components(sets, links)
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(all_rows)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), comp[r.doc_id], comp[r.doc_id] == r.doc_id)
+    assert minhash.near_duplicates(no_docs).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (100, 2))] + [(5, 5), (300, 301), (301, 302), (302, 303)] + [(None, 3)]
+    real = [e for e in edges if None not in e]
+    want = plain.components({x for e in real if e[0] != e[1] for x in e}, [e for e in real if e[0] != e[1]])
+    got = components.connected_components(spark.createDataFrame(edges, "u long, v long"))
+    assert {r.node: r.component for r in got.collect()} == want
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# 3 secrets
+
+
+def test_base_spans(edge_docs, edge_rows, no_docs):
+    got = by_id(secrets.secret_spans(edge_docs))
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for i, text, _ in edge_rows:
+        t = text or ""
+        spans = [("assign", *m.span()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        spans.sort(key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+        n = Counter(s[0] for s in spans)
+        text_of = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        for r in got[i]:
+            assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (n["assign"], n["access"], n["hex"], SHA(text_of.encode()))
+            assert set(text_of.split(",")) <= set(r.spans.split(","))
+    assert secrets.secret_spans(no_docs).count() == 0
+
+
+def test_entropy():
+    run = "Zq8#Vx2LmP9wK4tRb7YcN1sJ6".replace("#", "f")
+    for at, h, _ in secrets.windows(run):
+        c = Counter(run[at : at + secrets.WINDOW])
+        assert math.isclose(h, -sum(n / 20 * math.log2(n / 20) for n in c.values()), abs_tol=1e-9)
+    text = f"see {run} and 123e4567-e89b-12d3-a456-426614174000 or abcdefghijklmnopqrstuvwxyz0123456789 then aaaaaaaaaaaaaaaaaaaaaaaa"
+    assert secrets.entropy_spans(text) == [(4, 4 + len(run))]
+    assert secrets.entropy_spans("donaudampfschifffahrtsgesellschaftskapitaen unenlightenedness") == []
+    assert secrets.scan("ſecret=abcdef")[0] == []
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(1, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', 5), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r for r in secrets.redact_secrets(docs).collect()}
+    assert out[1].text == 'x [secret]" y' and out[1].n_chars == 13
+    assert (out[2].text, out[3].text, out[3].n_chars) == (None, "clean", 5)
+
+
+# 4 and 5 repeats
+
+
+def test_substring_dedup(edge_docs, edge_rows, no_docs):
+    last = 1 << 62
+    own = sorted({(last if i is None else i, t or "") for i, t, _ in edge_rows})
+    first, w = {}, {i: t.encode().split() for i, t in own}
+    for i in sorted(w):
+        for k in range(len(w[i]) - 19):
+            first.setdefault(tuple(w[i][k : k + 20]), (i, k))
+    got = substrings.substring_dedup(edge_docs, with_text=True)
+    assert got.count() == len(edge_rows)
+    for r in got.collect():
+        i = last if r.doc_id is None else r.doc_id
+        gone = np.zeros(len(w[i]), bool)
+        for k in range(len(w[i]) - 19):
+            if first[tuple(w[i][k : k + 20])] != (i, k):
+                gone[k : k + 20] = True
+        kept = b" ".join(x for x, g in zip(w[i], gone) if not g)
+        assert (r.n_words, r.n_removed, r.kept_sha256, r.kept_text.encode()) == (len(gone), gone.sum(), SHA(kept), kept)
+    assert substrings.substring_dedup(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("most_runs", [4000, 1])
+def test_long_matches(edge_docs, edge_rows, no_docs, most_runs):
+    last = 1 << 62
+    texts = {last if i is None else i: (t or "").encode() for i, t, _ in edge_rows}
+    count = Counter(t[k : k + 200] for t in texts.values() for k in range(len(t) - 199))
+    got = longmatches.long_match_dedup(edge_docs, with_bytes=True, most_runs=most_runs)
+    for r in got.collect():
+        t = texts[last if r.doc_id is None else r.doc_id]
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 199):
+            if count[t[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept_bytes)) == (len(t), gone.sum(), spans, SHA(kept), kept)
+    assert longmatches.long_match_dedup(no_docs).count() == 0
+
+
+def test_run_length_index():
+    rng = np.random.default_rng(1)
+    for trial in range(40):
+        s = [rng.integers(0, 1 + rng.integers(1, 4), rng.integers(0, 30)).astype(np.uint8) for _ in range(rng.integers(1, 10))]
+        s.append(s[0])
+        index = rindex.RunLengthIndex(np.concatenate(s), np.concatenate([[0], np.cumsum([len(x) for x in s])]))
+        texts = [x.tobytes() for x in s]
+        at = [(i, j) for i, t in enumerate(texts) for j in range(len(t))]
+
+        def common(a, b):
+            n = 0
+            while a[1] + n < len(texts[a[0]]) and b[1] + n < len(texts[b[0]]) and texts[a[0]][a[1] + n] == texts[b[0]][b[1] + n]:
+                n += 1
+            return n
+
+        assert list(index.matching()) == [max((common(a, b) for b in at if b != a), default=0) for a in at]
+    assert len(index.heads) <= index.n
+
+
+# 6 mixing
+
+
+def waterfill(sizes, weights=(5, 2, 1), most=3):
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    total, t, free = float(sum(sizes.values())), {}, set(names)
+    while free:
+        rest = total - sum(t.values())
+        share = {s: rest * w[s] / sum(w[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > most * sizes[s]]
+        if not over:
+            return t | share
+        for s in over:
+            t[s] = float(most * sizes[s])
+            free.remove(s)
+    return t
+
+
+def test_mixing(edge_docs, edge_rows, no_docs):
+    sizes = defaultdict(int)
+    for _, t, s in edge_rows:
+        sizes[s] += len(plain.words(t))
+    want = waterfill(sizes)
+    source = defaultdict(set)
+    for i, _, s in edge_rows:
+        source[i].add(s)
+    out = mixing.mix_sources(edge_docs).collect()
+    assert len(out) == len(edge_rows)
+    taken = defaultdict(int)
+    for r in out:
+        (s,) = source[r.doc_id]
+        assert r.source_size == sizes[s] and math.isclose(r.target, want[s], rel_tol=1e-9, abs_tol=1e-9)
+        assert r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[s] += r.taken
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= max(len(plain.words(x)) for _, x, y in edge_rows if y == s)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix_sources(edge_docs.repartition(5)).collect()))
+    assert mixing.mix_sources(no_docs).count() == 0
+
+
+def test_rounding_tree_is_unbiased(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    monkeypatch.setattr(mixing, "FAN_IN", 2)
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 7), f"s{k % 3}") for k in range(600)], "doc_id long, text string, source string")
+    total = Counter()
+    for seed in range(6):
+        out = mixing.mix_sources(docs, seed=seed).collect()
+        by = defaultdict(lambda: [0.0, 0])
+        for r in out:
+            total[r.doc_id] += r.taken / r.size
+            by[round(r.target, 6)][1] += r.taken
+        assert all(abs(t - n) <= 7 for t, (_, n) in by.items())
+    parts = [[total[k] / 6 for k in range(600) if k % 3 == s and k % 7 == j] for s in range(3) for j in range(7)]
+    for s in range(3):
+        means = [np.mean(p) for p in parts[s * 7 : s * 7 + 7]]
+        assert max(means) - min(means) < 0.35
+
+
+# 7 html
+
+
+def page(k, body):
+    return f'<!DOCTYPE html><html><head><title>T{k}</title><style>p{{}}</style><script>var x="</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy {k}</div><article>{body}</article><section id="comments"><p>Nice {k}!</p></section><footer>&copy; us</footer></body></html>'
+
+
+def test_extraction(spark, sf):
+    bodies = [f"<h1>Head {k}</h1><p><b>One &amp; two &lt;{k}&gt;<br><p>Three\n  four <i>five</i>{' more' * k}</p><aside>Related</aside><ul><li>a<li>b</ul>" for k in range(12)]
+    want = [f"Head {k}\n\nOne & two <{k}>\n\nThree four five{' more' * k}\n\na\n\nb" for k in range(12)]
+    data = [(k, f"https://h.example.com/{k}", page(k, b)) for k, b in enumerate(bodies)]
+    data += [(50, "http://single.example", "<body><p>Lone<p>page</body>"), (51, None, None), (52, "x", ""), (None, "http://single.example", "plain < text"), (53, "http://h.example.com/cut", page(9, "<p>cut")[:330]), (0, data[0][1], data[0][2])]
+    out = by_id(html.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string").withColumn("text", F.lit(1))))
+    for k, w in enumerate(want):
+        assert all(r.text == w and r.n_chars == len(w) for r in out[k])
+    assert len(out[0]) == 2
+    assert out[50][0].text == "Lone\n\npage" and out[51][0].text == "" and out[52][0].text == "" and out[None][0].text == "plain < text"
+    assert out[53][0].text == "cut" or "cut".startswith(out[53][0].text)
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.extract_pages(none).count() == 0
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    raw = {r.page_id: r.html for r in pages.collect()}
+    for r in html.extract_pages(pages).collect():
+        h = raw[r.page_id]
+        cut = h[h.index("<article>") + 9 : h.index("</article>")]
+        parts = [" ".join(H.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", cut)]
+        assert r.text == "\n\n".join(p for p in parts if p)
+
+
+def test_templates_beyond_the_broadcast_bound(spark, sf, monkeypatch):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    a = sorted(rows(html.extract_pages(pages), "page_id", "text"))
+    monkeypatch.setattr(html, "BROADCAST_BYTES", 0)
+    assert sorted(rows(html.extract_pages(pages), "page_id", "text")) == a
+
+
+# 8 language model
+
+
+@pytest.mark.parametrize("head", [brown.HEAD, 50])
+def test_scores(edge_docs, edge_rows, no_docs, head):
+    tokens = lambda t: [*plain.low_words(t), None]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    c = Counter(w for i, t, _ in edge_rows if not held(i) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    out = by_id(brown.score_documents(edge_docs, head=head))
+    assert sum(map(len, out.values())) == len(edge_rows)
+    for i, t, _ in edge_rows:
+        for r in out[i]:
+            w = tokens(t)
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w), sum(x in c for x in w), n)
+            assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+            assert r.score < 0
+    assert brown.score_documents(no_docs).count() == 0
+
+
+def test_class_model_beats_unigrams_on_held_out_texts(spark, sf):
+    out = brown.score_documents(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    assert out.s > out.b
+
+
+def test_exchange_separates_what_never_mixes():
+    pairs = np.zeros((9, 9))
+    for side in ((1, 2, 3, 4), (5, 6, 7, 8)):
+        for a in side:
+            pairs[0, a] = pairs[a, 0] = 1
+            for b in side:
+                pairs[a, b] = 10
+    cls = brown.exchange(pairs, classes=3)
+    assert len({cls[k] for k in (1, 2, 3, 4)}) == len({cls[k] for k in (5, 6, 7, 8)}) == 1 and cls[1] != cls[5] and cls[0] == 0
+
+
+def test_probabilities_sum_to_one(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    counts = brown.word_counts(docs).cache()
+    m = brown.train(docs, counts)
+    assert np.allclose((10**m.transition).sum(axis=1), 1)
+    got = counts.toPandas()
+    unit = np.where(got.e == 0, 0, m.units(got.h.to_numpy(), got.e.to_numpy()))
+    known = np.bincount(m.unit_class[unit], got.c - m.discount, brown.CLASSES)
+    assert np.allclose((known + 10**m.unknown) / 10**m.size, 1)
+
+
+# 9 packing
+
+
+def test_tokenizer_agrees_with_the_library(edge_rows):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(str(P.path(packing.VOCABULARY)))
+    t.encode_special_tokens = True
+    enc = packing.tokenizer(str(P.path(packing.VOCABULARY)))
+    for text in [r[1] or "" for r in edge_rows] + ["<|endoftext|> hi", "don't  stop\n\n x", " 　日本語 🙂 12345", "  "]:
+        assert list(enc(text)) == t.encode(text, add_special_tokens=False).ids
+
+
+def check_pieces(out, docs, limits=(1024, 64, 1024), loss_from=0):
+    P = pytest.importorskip("public_tokenizers")
+    enc = packing.tokenizer(str(P.path(packing.VOCABULARY)))
+    ids = defaultdict(list)
+    for i, t, *_ in docs:
+        ids[i].append(np.append(enc(t or ""), np.uint32(0)))
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for r in out:
+        pieces[r.doc_id].append(r)
+        bins[r.sequence_id].append(r)
+    assert set(pieces) == set(ids)
+    for i, rs in pieces.items():
+        copies, whole = len(ids[i]), ids[i][0]
+        rs.sort(key=lambda r: r.start)
+        cover = np.zeros(len(whole) + 1, int)
+        for r in rs:
+            assert r.doc_tokens == len(whole) and r.ids_crc32 == zlib.crc32(whole[r.start : r.start + r.length].astype("<u4").tobytes())
+            cover[r.start] += 1
+            cover[r.start + r.length] -= 1
+        assert (np.cumsum(cover)[:-1] == copies).all()
+    padded = 0
+    for rs in bins.values():
+        rs.sort(key=lambda r: r.offset)
+        at = 0
+        for r in rs:
+            assert r.offset == at
+            at += r.length
+        assert at <= limits[0] and len(rs) <= limits[1]
+        assert sum(max(0, r.start + r.length - max(r.start + 1, loss_from)) for r in rs) <= limits[2]
+        padded += 0 if at & (at - 1) == 0 else limits[0] - at
+    return padded / max(1, sum(r.length for r in out))
+
+
+def test_packing(edge_docs, edge_rows, no_docs):
+    assert check_pieces(packing.pack_documents(edge_docs).collect(), edge_rows) < 0.01
+    assert packing.pack_documents(no_docs).count() == 0
+    tight = packing.pack_documents(edge_docs, max_segments=2, max_loss=300).collect()
+    check_pieces(tight, edge_rows, (1024, 2, 300))
+    late = packing.pack_documents(edge_docs.withColumn("from", F.lit(200)), loss_from_col="from", max_loss=100).collect()
+    check_pieces(late, edge_rows, (1024, 64, 100), 200)
+
+
+# 10 media
+
+
+@pytest.mark.parametrize("n", [64, 4096, 4160, 8 * 4096, 8 * 4096 + 64, 100_032])
+def test_container_round_trip(n):
+    payload = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()
+    stored = media.wrap(payload)
+    paths = [p for p, _, _ in media.boxes(stored)]
+    assert paths[0] == "/ftyp" and "/moov/trak/mdia/minf/stbl/stsz" in paths and paths[-1] == "/mdat"
+    (t,) = media.walk(stored)
+    assert media.read_back(stored, t) == payload and t["duration"] == n and t["codec"] == "raw "
+    assert len(t["keyframes"]) == -(-len(t["samples"]) // media.KEY_EVERY)
+    assert media.walk(stored[: stored.index(b"mdat") - 4]) == [t]  # the payload isn't looked at
+
+
+def test_broken_containers():
+    good = media.wrap(b"\0" * 64)
+    for bad in (good[:-1], good + b"abc", good.replace(b"stsz\0\0\0\0\0\0\0\0\0\0\0\1", b"stsz\0\0\0\0\0\0\0\0\0\0\xff\1")):
+        with pytest.raises(media.MediaError):
+            media.walk(bad)
+    assert media.walk(b"") == []
+    long = b"\0\0\0\1free\0\0\0\0\0\0\0\x18abcdefgh"
+    assert [p for p, _, _ in media.boxes(long)] == ["/free"]
+
+
+def test_media_columns(edge_docs, edge_rows, no_docs):
+    got = by_id(media.media_columns(edge_docs))
+    for i, text, _ in edge_rows:
+        raw = (text or "").encode()
+        padded = media.pad(raw)
+        for r in got[i]:
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), SHA(padded), zlib.crc32(padded[-64:]))
+            assert len(padded) % 64 == 0 and len(padded) >= 64 and r.media_bytes > len(padded)
+            ranges = json.loads(r.feature)["keyframes"]
+            assert ranges[0][1] - ranges[0][0] == min(len(padded), media.PER_CHUNK)
+    assert media.media_columns(no_docs).count() == 0
