@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -206,8 +207,16 @@ def coalesce(*args: Expr) -> Expr:
     return Expr(F.coalesce(*(a.column for a in used)), kind, all(a.nullable for a in used))
 
 
+def raise_if(predicate: Expr, kind: ErrorKind, otherwise: Expr) -> Expr:
+    """``otherwise``, failing with an error of ``kind`` on rows whose predicate is true."""
+    boolean("raise_if", predicate)
+    if kind not in RAISED:
+        raise unsupported(f"rows don't raise {kind.value}")
+    return Expr(F.when(predicate.column, _raise(kind, otherwise.type)).otherwise(otherwise.column), otherwise.type, otherwise.nullable)
+
+
 def assert_not_null(a: Expr) -> Expr:
     """``a``, failing on a null."""
     if a.type == NULL:
         raise unsupported("a null column holds nothing but nulls")
-    return Expr(F.when(a.column.isNull(), _raise(ErrorKind.INVALID_INPUT, a.type)).otherwise(a.column), a.type, False)
+    return replace(raise_if(is_null(a), ErrorKind.INVALID_INPUT, a), nullable=False)

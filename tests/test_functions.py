@@ -146,6 +146,10 @@ def test_null_tests_and_null_type(spark, mode):
     assert run(df, M.equal(M.null(), M.null())) == [None] * 4
     assert run(filter_rows(df, M.null(T.BOOLEAN)), a) == []
     fails(ErrorKind.INVALID_INPUT, lambda: run(df, M.assert_not_null(a)))
+    one = M.equal(a, M.constant(1, T.INT64))
+    fails(ErrorKind.ARITHMETIC_OVERFLOW, lambda: run(df, M.raise_if(one, ErrorKind.ARITHMETIC_OVERFLOW, b)))
+    assert run(df, M.raise_if(M.all_of(one, M.not_(one)), ErrorKind.DIVISION_BY_ZERO, b)) == [1, 1, None, 1]
+    fails(ErrorKind.UNSUPPORTED, lambda: M.raise_if(one, ErrorKind.INTERNAL, b))
 
 
 def test_text_and_binary_order_by_bytes(spark):
