@@ -9,9 +9,10 @@
 3. A pair whose signatures agree too little is dropped (``SLACK`` is five
    standard deviations below the threshold); the others are confirmed on
    their full shingle sets.
-4. Components by large-star and small-star.  Buckets that still hold several
-   components are then compared across components, so that no link between
-   different texts hangs on which member was the least.
+4. Components by large-star and small-star.  Documents of buckets that still
+   hold several components are then compared across components wherever their
+   rarest shingles meet, so that no link between different texts hangs on which
+   member was the least.
 """
 
 from __future__ import annotations
@@ -134,6 +135,40 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def _across(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components that can be similar enough, among the documents of ``placed`` (key, id, comp).
+
+    Two sets of a similarity of 75 % share a shingle among the rarest 25 % of
+    each (prefix filtering), whatever their buckets.  What very many documents
+    share is the least rare, so a passage common to them makes no pairs.  Of a
+    bucket only documents outside its largest component need partners.
+    """
+    sizes = placed.groupBy("key", "comp").count()
+    largest = sizes.groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("most"))
+    odd = placed.join(largest, "key").groupBy("id", "comp").agg(F.max((F.col("comp") != F.col("most")).cast("int")).alias("odd"))
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in chunks(batches, "text"):
+            values, first = shingle_sets(b.column(3))
+            n = np.diff(first)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))], names=["id", "comp", "odd", "n", "set"])
+
+    sets = texts.join(odd, "id").select("id", "comp", "odd", "text").mapInArrow(run, f"id {kind}, comp {kind}, odd int, n long, set array<bigint>")
+    sets = written(sets, "sets")
+    each = sets.select("id", "comp", "odd", "n", F.explode("set").alias("h"))
+    rarity = each.groupBy("h").agg(F.count("*").alias("df"))
+    rarest = each.join(rarity, "h").groupBy("id", "comp", "odd", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("all"))
+    prefix = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1).cast("int"))
+    rows = rarest.select("id", "comp", "odd", "n", F.posexplode(prefix).alias("i", "x")).filter("x.df > 1").select("id", "comp", "odd", "n", (F.col("n") - F.col("i")).alias("rest"), "x.h")
+    rows = written(rows, "prefixes")
+    p, q = rows.filter("odd = 1").alias("p"), rows.alias("q")
+    # from the rarest shingle that two sets share on, no more than the shorter rest can be shared
+    most = F.least("p.rest", "q.rest")
+    fits = (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.odd") == 0) | (F.col("p.id") < F.col("q.id"))) & (100 * most >= SIMILAR * (F.col("p.n") + F.col("q.n") - most))
+    return p.join(q, (F.col("p.h") == F.col("q.h")) & fits).select(F.least("p.id", "q.id").alias("u"), F.greatest("p.id", "q.id").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
@@ -170,13 +205,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(_confirmed(written(alike(stars), "pairs"), texts), "links")
     comps = written(connected_components(links), "components")
 
-    # buckets that hold more than one component: all pairs across components that the stars have not tried
+    # buckets that hold more than one component: pairs across components that the stars have not tried
     placed = members.join(comps, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
     placed = written(placed.join(mixed, "key"), "mixed")
-    p, q = placed.alias("p"), placed.alias("q")
-    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.comp") != F.col("q.comp"))).select(F.col("p.id").alias("u"), F.col("q.id").alias("v")).distinct()
-    across = across.join(stars, ["u", "v"], "left_anti")
+    across = _across(placed, texts).join(stars, ["u", "v"], "left_anti")
     more = written(_confirmed(written(alike(across), "pairs"), texts), "links")
     if more.head(1):
         comps = written(connected_components(links.unionByName(more)), "components")
