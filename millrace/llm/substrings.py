@@ -111,7 +111,6 @@ def _compare_runs(batches):
         firsts = np.flatnonzero(new_c)
         types = np.bincount(group[firsts], minlength=int(group[-1]) + 1)
         several = types > 1
-        ask = []
         if goes_on and types[0] > 0:
             if s.pending is not None:
                 yield _batch(ASK, s.anchor, 0, *(np.array([x]) for x in s.pending))
