@@ -8,6 +8,7 @@ the errors of its argument, but not from their group.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,13 +87,20 @@ class Aggregate:
 
 
 def wrapping_sum(c: Column, type: Type) -> Column:
-    """The sum modulo 2**64, as a decimal that can't overflow brought back into range."""
-    span = F.lit(str(1 << 64)).cast("decimal(20,0)")
-    total = F.sum(c.cast("decimal(20,0)"))
+    """The sum modulo 2**64.
+
+    A long is summed as three parts of 22, 22 and 20 bits, which stay longs for
+    2**41 rows; decimals, which are slow, come in once per group.
+    """
+    wide = lambda x: x.cast("decimal(38,0)")
+    power = lambda n: F.lit(Decimal(1 << n))
     if type == UINT64:
-        return F.pmod(total, span).cast(type.spark)
-    half = F.lit(str(1 << 63)).cast("decimal(20,0)")
-    return (F.pmod(total + half, span) - half).cast("bigint")
+        return F.pmod(F.sum(c.cast("decimal(20,0)")), power(64)).cast(type.spark)
+    c = c.cast("bigint")
+    mask = F.lit((1 << 22) - 1).cast("bigint")
+    low, mid, high = F.sum(c.bitwiseAND(mask)), F.sum(F.shiftright(c, 22).bitwiseAND(mask)), F.sum(F.shiftright(c, 44))
+    total = wide(low) + wide(mid) * power(22) + wide(high) * power(44)
+    return (F.pmod(wide(total) + power(63), power(64)) - power(63)).cast("bigint")
 
 
 def count(x: Expr | None = None, distinct: bool = False, total_order: bool = False) -> Aggregate:
