@@ -171,7 +171,7 @@ def deduce(rows: pd.DataFrame) -> list[str]:
     page can be the main one; it is the deepest that holds ``LEAST_MASS`` of
     the running text of the whole.
     """
-    tags = rows[rows.kind.isin(["start", "end"])].copy()
+    tags = rows[rows.kind.isin(["start", "end", "text"])].copy()
     if tags.empty:
         return []
     tags["at"] = tags["place"] / tags["pages"]
@@ -200,7 +200,8 @@ def deduce(rows: pd.DataFrame) -> list[str]:
 def host_templates(tokens: DataFrame) -> DataFrame:
     """``host, slots``: a row for each host with a template. Only tokens on ``LEAST_SUPPORT`` of a host's pages come together, however many pages it has."""
     sizes = tokens.filter("kind = 'page'").select("host", F.col("pages").alias("host_pages"))
-    often = tokens.filter("kind <> 'page'").join(sizes, "host").filter((F.col("host_pages") >= LEAST_PAGES) & ((F.col("pages") >= LEAST_SUPPORT * F.col("host_pages")) | (F.col("kind") == "mass") & (F.col("pages") >= 0.01 * F.col("host_pages"))))
+    # text of one page only is no template, and there is much of it
+    often = tokens.filter("kind <> 'page' and (kind <> 'text' or pages > 1)").join(sizes, "host").filter((F.col("host_pages") >= LEAST_PAGES) & ((F.col("pages") >= LEAST_SUPPORT * F.col("host_pages")) | (F.col("kind") == "mass") & (F.col("pages") >= 0.01 * F.col("host_pages"))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "slots": [deduce(pdf)]})
