@@ -60,9 +60,8 @@ def runs_of(prefix: Prefix, first: np.ndarray, window: int, gram: int, each: boo
 
     A run's content hash is that of its units or, with ``each``, that of the
     sequence of its windows' own hashes.
-    A chunk has fewer than 2**24 units unless it is a single text; then places
-    in the low bits wrap, which only makes ties inside a window go another way
-    for texts longer than that.
+    Grams are ordered by 32 bits of their hashes and, where these are equal, by
+    place; that depends on what is in a window alone, so equal windows agree.
     """
     wide = window - gram + 1
     n = int(first[-1]) - window + 1
@@ -70,9 +69,7 @@ def runs_of(prefix: Prefix, first: np.ndarray, window: int, gram: int, each: boo
     if n <= 0:
         return Runs(none, none, none, none.view(np.uint64), none.view(np.uint64))
     grams = prefix.all_of(gram)
-    # leftmost least gram: high bits of its hash, then its place
-    bits = max(24, int(len(grams)).bit_length())
-    key = (grams >> np.uint64(bits)) << np.uint64(bits)
+    key = (grams >> np.uint64(32)) << np.uint64(32)
     key |= np.arange(len(grams), dtype=np.uint64)
     size = 1
     while size * 2 <= wide:
@@ -80,7 +77,7 @@ def runs_of(prefix: Prefix, first: np.ndarray, window: int, gram: int, each: boo
         size *= 2
     if size < wide:
         key = np.minimum(key[: len(key) - (wide - size)], key[wide - size :])
-    anchor = (key[:n] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    anchor = (key[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
     whole = np.arange(n) + window <= first[text + 1]
     at = np.flatnonzero(whole)
