@@ -3,9 +3,9 @@
 Each source gets a target (shares by weight, at most ``max_repeats`` times what
 it holds).  Every document of a source then has the same expected number of
 copies, target / source size; the whole part is taken for sure and the
-fraction is rounded dependently: two documents with fractions left transfer
-words between them, up or down at random without bias, until one fraction is 0
-or 1, and the other goes on.  Expected copies are kept for each document and
+fraction is rounded dependently: documents with fractions left are paired and
+words transferred between them, up or down at random without bias, until one
+fraction is 0 or 1, and the other goes on.  Expected copies are kept for each document and
 the source's words stay constant but for the last fraction.
 
 Documents are rounded in blocks of bounded size, each block leaving one
@@ -63,24 +63,57 @@ def _uniform(seed: int, block: str, n: int) -> np.ndarray:
     return np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}:{block}")).random(n)
 
 
+def _settled(p: np.ndarray) -> np.ndarray:
+    return np.where(p < 1e-9, 0.0, np.where(p > 1 - 1e-9, 1.0, p))
+
+
 def _pivot(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> int:
-    """Round the fractions ``p`` in place, in the order given; the index of the one that is left, or -1."""
-    at = -1
-    for i in range(len(p)):
+    """Round the fractions ``p`` in place, in the order given (sizes falling); the index of the one that is left, or -1.
+
+    A document is paired with the next one, or with as many of the next as it
+    takes to settle it either way; each has the same share of the transfer
+    whichever way it goes, so nobody's expectation moves.  Those that nothing
+    can settle at one go, the last ones above all, are paired one by one in the
+    end.
+    """
+    n, i = len(p), 0
+    while i < n:
         if p[i] <= 0.0 or p[i] >= 1.0:
+            i += 1
+            continue
+        up, down = (1.0 - p[i]) * size[i], p[i] * size[i]
+        width = 4
+        while True:
+            k = slice(i + 1, min(i + 1 + width, n))
+            # the share of the transfer that each can take in either direction
+            share = np.minimum(p[k] / up, (1.0 - p[k]) / down) * size[k]
+            enough = np.flatnonzero(np.cumsum(share) >= 1.0)
+            if len(enough) or k.stop >= n:
+                break
+            width *= 4
+        if not len(enough):  # all that follow are too small for it
+            i += 1
+            continue
+        k = slice(i + 1, i + 2 + int(enough[0]))
+        share = share[: enough[0] + 1] / share[: enough[0] + 1].sum() / size[k]
+        won = u[i] < p[i]
+        p[k] = _settled(p[k] - up * share if won else p[k] + down * share)
+        p[i] = 1.0 if won else 0.0
+        i += 1
+    at = -1
+    for b in range(n):
+        if p[b] <= 0.0 or p[b] >= 1.0:
             continue
         if at < 0:
-            at = i
+            at = b
             continue
-        a, b = at, i
+        a = at
         # words that can go from b to a, and from a to b, until a fraction is 0 or 1
         up = min((1.0 - p[a]) * size[a], p[b] * size[b])
         down = min(p[a] * size[a], (1.0 - p[b]) * size[b])
-        give = up if u[i] * (up + down) < down else -down
-        p[a] += give / size[a]
-        p[b] -= give / size[b]
-        for k in (a, b):
-            p[k] = 0.0 if p[k] < 1e-9 else 1.0 if p[k] > 1 - 1e-9 else p[k]
+        give = up if u[b] * (up + down) < down else -down
+        p[a] = _settled(p[a] + give / size[a])
+        p[b] = _settled(p[b] - give / size[b])
         at = a if 0.0 < p[a] < 1.0 else b if 0.0 < p[b] < 1.0 else -1
     return at
 
