@@ -17,6 +17,9 @@ from millrace.llm.quality import keep_quality, train
 from millrace.llm.secrets import redact_secrets
 from millrace.llm.shared import documents, written
 
+#: Documents whose numbers of copies may be broadcast; beyond, texts are joined by a shuffle.
+BROADCAST_COPIES = 500_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the trees reject go."""
@@ -40,6 +43,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
     keyed = docs.withColumn("_key", key)
     copies = mix_sources(keyed, id_col="_key").filter("taken > 0").groupBy("_key").agg(F.max(F.expr("cast(taken div size as int)")).alias("_copies"))
+    copies = written(copies, "copies")
+    if copies.count() <= BROADCAST_COPIES:
+        copies = F.broadcast(copies)
     return keyed.join(copies, "_key").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
 
 
