@@ -21,6 +21,8 @@ from .words import Words, chunks, starts_within, text_bytes
 
 #: At most so many labelled documents train the model, chosen by a hash of their id.
 SAMPLE = 20_000
+#: Bytes of text counted at once.
+CHUNK = 1 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Documents below this probability of good quality are rejected.
 THRESHOLD = 0.5
@@ -207,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
     def run(batches):
-        for b in chunks(batches, "_text"):
+        for b in chunks(batches, "_text", CHUNK):
             _, x = statistics(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["_id", "_y", "_x"])
 
@@ -236,7 +238,7 @@ def quality_rules(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_co
     """
 
     def run(batches):
-        for b in chunks(batches, text_col):
+        for b in chunks(batches, text_col, CHUNK):
             v = verdicts(b.column(1), model, threshold)
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality"]
@@ -250,7 +252,7 @@ def keep_quality(docs: DataFrame, model: Trees, text_col: str = "text", threshol
     """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps."""
 
     def run(batches):
-        for b in chunks(batches, text_col):
+        for b in chunks(batches, text_col, CHUNK):
             yield b.filter(pa.array(verdicts(b.column(b.schema.get_field_index(text_col)), model, threshold)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
