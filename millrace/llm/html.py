@@ -40,7 +40,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("html body table ul ol dl div article section main td th nav aside footer header form blockquote".split())
 HOLDERS = frozenset("html body main article section div td center".split())
 APART = frozenset("nav aside footer form menu dialog".split())
-APART_NAMES = re.compile(r"(?<![a-z])(ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|notices?|comments?|replies|disqus\w*|sidebars?|menus?|nav\w*|breadcrumbs?|footers?|headers?|share|sharing|social|related|newsletter|subscribe|popup|modal)(?![a-z])")
+APART_NAMES = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|notices?|comments?|replies|disqus\w*|sidebars?|menus?|nav(?:s|bar|igation)?|breadcrumbs?|footers?|share|sharing|social|related|newsletter|subscribe|popup|modal")
+HEADER_NAMES = re.compile(r"headers?")
+#: Elements that a name can set apart: no page frames, articles, headings or inline elements.
+NAMED = BLOCKS - frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 
 #: Pages from which on a host has a template; share of a host's pages that a template token is on; share of the text that the main slot holds at least.
 LEAST_PAGES, LEAST_SUPPORT, LEAST_MASS = 3, 0.5, 0.5
@@ -49,10 +52,13 @@ BROADCAST_BYTES = 8 << 20
 
 
 class Element:
-    __slots__ = ("tag", "path", "apart", "link")
+    """``apart``: by its or an outer element's tag, and once a page is parsed by names; ``named``: itself or the nearest outer element that has such a name."""
 
-    def __init__(self, tag: str, path: str, apart: bool, link: bool):
+    __slots__ = ("tag", "path", "apart", "link", "named", "outer", "chars")
+
+    def __init__(self, tag: str, path: str, apart: bool, link: bool, outer: Element | None = None, named: bool = False):
         self.tag, self.path, self.apart, self.link = tag, path, apart, link
+        self.named, self.outer, self.chars = self if named else outer, outer, 0
 
 
 def _label(tag: str, attributes: str) -> tuple[str, str]:
@@ -63,6 +69,35 @@ def _label(tag: str, attributes: str) -> tuple[str, str]:
     return (f"{tag}[{names}]" if names else tag), names
 
 
+def _set_apart(names: str, inside: bool) -> bool:
+    """Whether a class, id or role, as a whole, sets a block apart; a header in an article (``inside``) belongs to it."""
+    return any(APART_NAMES.fullmatch(n) or not inside and HEADER_NAMES.fullmatch(n) for n in names.split())
+
+
+def parsed(page: str, slots=()) -> list[tuple[str, Element, str]]:
+    """The page's events with names considered: a named element is apart unless it holds most of the page's text or, on its host, a slot."""
+    got = list(events(page))
+    if not any(e.named for kind, e, _ in got if kind == "start"):
+        return got
+    total = 0
+    for kind, e, text in got:
+        if kind == "text" and not e.apart:
+            n, e = len(text.strip()), e.named
+            total += n
+            while e:
+                e.chars += n
+                e = e.outer
+    for kind, e, _ in got:
+        if kind == "start" and e.named:  # outer elements come first
+            if e.named is not e:
+                e.apart = e.apart or e.named.apart
+            elif e.outer and e.outer.apart:
+                e.apart = True
+            elif 2 * e.chars <= total:
+                e.apart = e.apart or not any(s == e.path or s.startswith(e.path + "/") for s in slots or ())
+    return got
+
+
 def events(page: str):
     """('start' | 'end' | 'text', element, text): tags in order, with omitted end tags supplied; text in hidden elements is skipped."""
     root = Element("", "", False, False)
@@ -94,8 +129,10 @@ def events(page: str):
                 break
         above = stack[-1]
         label, names = _label(tag, attributes)
-        apart = above.apart or tag in APART or tag in HIDDEN or bool(names and APART_NAMES.search(names)) or tag == "header" and not re.search("/(article|main)", above.path)
-        e = Element(tag, f"{above.path}/{label}", apart, above.link or tag == "a")
+        inside = bool(re.search("/(article|main)", above.path))
+        apart = above.apart or tag in APART or tag in HIDDEN or tag == "header" and not inside
+        named = bool(names) and tag in NAMED and _set_apart(names, inside)
+        e = Element(tag, f"{above.path}/{label}", apart, above.link or tag == "a", above.named, named)
         yield "start", e, ""
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             yield "end", e, ""
@@ -119,7 +156,7 @@ def host_of(url: str | None) -> str:
 def tokens_of(page: str) -> dict[tuple[str, str], list[int]]:
     """(kind, path) -> [occurrences, place of the first, characters of text outside links]; text tokens are pieces of text by hash."""
     found: dict[tuple[str, str], list[int]] = {}
-    for place, (kind, e, text) in enumerate(events(page)):
+    for place, (kind, e, text) in enumerate(parsed(page)):
         if kind == "text":
             text = text.strip()
             if not text or e.apart:
@@ -211,7 +248,7 @@ def host_templates(tokens: DataFrame) -> DataFrame:
 
 def main_text(page: str, slots) -> str:
     """The blocks of the first slot that the page has, or of its article, main or body, joined by blank lines."""
-    got = list(events(page))
+    got = parsed(page, slots)
     paths = {e.path for kind, e, _ in got if kind == "start"}
     tags = {e.tag for kind, e, _ in got if kind == "start" and not e.apart}
     root = next((s for s in slots or () if s in paths), None)

@@ -326,6 +326,33 @@ def test_extraction(spark, sf):
         assert r.text == "\n\n".join(p for p in parts if p)
 
 
+FRAMES = (
+    '<body class="has-sidebar"><article>{}</article></body>',
+    '<body class="comments-open"><article>{}</article></body>',
+    '<body class="sidebar comments"><article>{}</article></body>',
+    '<body><main class="with-sidebar">{}</main></body>',
+    '<body><main class="sidebar">{}</main></body>',
+    '<body><article class="post related">{}</article></body>',
+    '<body><div class="post related">{}</div></body>',
+    '<body><div class="wrap sidebar"><article>{}</article></div></body>',
+)
+
+
+def test_names_take_no_text_of_the_article(spark):
+    body = '<div class="article-header"><h1>Head {0}</h1></div><div class="header"><p>By {0}</p></div><h2 id="related-work">Work</h2><h2 id="notices">Notes</h2><p>Long <span class="share">running</span> text {0}</p><div class="ad">Buy</div>'
+    want = "Head {0}\n\nBy {0}\n\nWork\n\nNotes\n\nLong running text {0}"
+    data = [(100 * f + k, f"http://f{f}{k if k > 5 else ''}.example/{k}", frame.format(body.format(k))) for f, frame in enumerate(FRAMES) for k in range(8)]
+    out = by_id(html.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")))
+    for i, _, _ in data:
+        # a header outside an article or main is no part of a text
+        w = want.format(i % 100) if i // 100 != 6 else want.format(i % 100).replace(f"By {i % 100}\n\n", "")
+        assert out[i][0].text == w, FRAMES[i // 100]
+    # what the host's other pages show to be the article stays, however short
+    short = [(k, f"http://s.example/{k}", f'<body><div class="post related"><p>{"long " * (1 if k == 9 else 40)}{k}</p></div><div class="sidebar">Some more of our pages</div></body>') for k in range(10)]
+    out = by_id(html.extract_pages(spark.createDataFrame(short, "page_id long, url string, html string")))
+    assert all(f"long {k}" in out[k][0].text for k in range(10))
+
+
 def test_templates_beyond_the_broadcast_bound(spark, sf, monkeypatch):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     a = sorted(rows(html.extract_pages(pages), "page_id", "text"))
