@@ -6,8 +6,9 @@ vector says how often it occurs on each page of the host; tokens with equal
 vectors form an equivalence class.  The vectors are never built: a token keeps
 the exclusive or of a hash of (page, count), which Spark aggregates, so that
 equal vectors have equal hashes.  Valid classes - in order, properly nested -
-nest into the host's template, whose slots hold what varies.  The slot with
-most of the running text is the main one and is extracted from every page.
+nest into the host's template, whose slots hold what varies.  Slots that hold
+most of the running text, one in the other, can be the main one: a page gives
+the outermost article-like one, or a deeper one that leaves only template text.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ HEADER_NAMES = re.compile(r"headers?")
 #: Elements that a name can set apart: no page frames, articles, headings or inline elements.
 NAMED = BLOCKS - frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 
+ARTICLE = re.compile(r"(article|main)(\[|$)")
+#: Begins an entry of a host's slots that is the hash of a text of its template; paths begin with '/'.
+SAME = "="
+
 #: Pages from which on a host has a template; share of a host's pages that a template token is on; share of the text that the main slot holds at least.
 LEAST_PAGES, LEAST_SUPPORT, LEAST_MASS = 3, 0.5, 0.5
 #: Bytes of templates that may be broadcast; beyond, pages are joined by host.
@@ -153,6 +158,10 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _text_key(path: str, text: str) -> str:
+    return f"{path}|{xxhash.xxh64_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
+
+
 def tokens_of(page: str) -> dict[tuple[str, str], list[int]]:
     """(kind, path) -> [occurrences, place of the first, characters of text outside links]; text tokens are pieces of text by hash."""
     found: dict[tuple[str, str], list[int]] = {}
@@ -164,7 +173,7 @@ def tokens_of(page: str) -> dict[tuple[str, str], list[int]]:
             mass = found.setdefault(("mass", e.path), [0, place, 0])
             mass[0] += 1
             mass[2] += 0 if e.link else len(text)
-            key = ("text", f"{e.path}|{xxhash.xxh64_hexdigest(text.encode('utf-8', 'surrogatepass'))}")
+            key = ("text", _text_key(e.path, text))
         else:
             key = (kind, e.path)
         row = found.setdefault(key, [0, place, 0])
@@ -200,13 +209,13 @@ def host_tokens(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> D
 
 
 def deduce(rows: pd.DataFrame) -> list[str]:
-    """Paths of a host's main slots, best first, from its tokens (those on enough pages).
+    """Paths of slots that can be a host's main one, outermost first, from its tokens (those on enough pages), and ``SAME`` with the hash of each template text that is in the first but not in all of them.
 
     Classes are ordered by support.  A class is valid if its start and end tags
     pair up in order; a valid class nests in the template if its elements lie
     in a slot of one that is there already.  Slots whose element occurs once a
-    page can be the main one; it is the deepest that holds ``LEAST_MASS`` of
-    the running text of the whole.
+    page and that holds ``LEAST_MASS`` of the running text of the whole can be
+    the main one, from the outermost article or main on, if there is any.
     """
     tags = rows[rows.kind.isin(["start", "end", "text"])].copy()
     if tags.empty:
@@ -231,7 +240,15 @@ def deduce(rows: pd.DataFrame) -> list[str]:
     held = {p: int(mass.loc[(mass.path == p) | mass.path.str.startswith(p + "/"), "chars"].sum()) for p, _, _ in template}
     total = int(mass["chars"].sum())
     good = [p for p, m in held.items() if holder(p) and m >= LEAST_MASS * total and m > 0]
-    return sorted(good, key=lambda p: (-p.count("/"), -held[p], p))
+    good.sort(key=lambda p: (p.count("/"), -held[p], p))
+    first = next((p for p in good if ARTICLE.match(p.rsplit("/", 1)[1])), good[0] if good else None)
+    slots = [p for p in good if p == first or p.startswith(f"{first}/")]
+    same = [k for k in tags.loc[tags.kind == "text", "path"] if len(slots) > 1 and _within(p := k.rsplit("|", 1)[0], first) and not all(_within(p, s) for s in slots)]
+    return slots + sorted({SAME + xxhash.xxh64_hexdigest(k.encode("utf-8", "surrogatepass")) for k in same})
+
+
+def _within(path: str, slot: str) -> bool:
+    return path == slot or path.startswith(slot + "/")
 
 
 def host_templates(tokens: DataFrame) -> DataFrame:
@@ -246,12 +263,30 @@ def host_templates(tokens: DataFrame) -> DataFrame:
     return often.groupBy("host").applyInPandas(run, "host string, slots array<string>")
 
 
+def _only_template(got, outer: str, inner: str, same: set[str]) -> bool:
+    """Whether all text in ``outer`` and not in ``inner`` is in the template."""
+    for kind, e, text in got:
+        if kind == "text" and not e.apart and _within(e.path, outer) and not _within(e.path, inner) and (text := text.strip()):
+            if SAME + xxhash.xxh64_hexdigest(_text_key(e.path, text).encode("utf-8", "surrogatepass")) not in same:
+                return False
+    return True
+
+
 def main_text(page: str, slots) -> str:
-    """The blocks of the first slot that the page has, or of its article, main or body, joined by blank lines."""
+    """The blocks of the page's main slot, or of its article, main or body, joined by blank lines.
+
+    The slot is the first that the page has; a deeper one takes its place as
+    long as all other text is that of the host's template.
+    """
+    same = {s for s in slots or () if s.startswith(SAME)}
+    slots = [s for s in slots or () if not s.startswith(SAME)]
     got = parsed(page, slots)
     paths = {e.path for kind, e, _ in got if kind == "start"}
     tags = {e.tag for kind, e, _ in got if kind == "start" and not e.apart}
-    root = next((s for s in slots or () if s in paths), None)
+    root = None
+    for s in slots:
+        if s in paths and (root is None or _within(s, root) and _only_template(got, root, s, same)):
+            root = s
     by_tag = None if root else next((t for t in ("article", "main", "body", "html") if t in tags), "")
     below = root + "/" if root else None
     blocks, now = [], []

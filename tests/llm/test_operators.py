@@ -353,6 +353,25 @@ def test_names_take_no_text_of_the_article(spark):
     assert all(f"long {k}" in out[k][0].text for k in range(10))
 
 
+def test_slots_keep_all_of_an_article(spark):
+    words = lambda n, k: " ".join(f"w{k}x{j}" for j in range(n))
+    frames = (
+        '<body><article><h1>Head {0}</h1><div class="intro">{1}</div><div class="body">{2}</div></article></body>',
+        '<body><div class="page"><div class="intro"><h1>Head {0}</h1>{1}</div><div class="body">{2}</div></div></body>',
+        '<body><div class="top">Our pages</div><div class="post"><h1>Head {0}</h1><div>{1}</div><div class="body">{2}</div></div><div>All rights</div></body>',
+        '<body><div class="top">Text {0}</div><main><h1>Head {0}</h1><div>{1}</div><article>{2}</article></main></body>',
+    )
+    data = [(100 * f + k, f"http://f{f}.example/{k}", frame.format(k, words(12, k), words(28, k + 50))) for f, frame in enumerate(frames) for k in range(6)]
+    # one page in two hundred has more than the others
+    data += [(1000 + k, f"http://many.example/{k}", f'<body><article><div>Same top</div><div class="body">{words(9, k)}</div>{"<p>Update" if k == 77 else ""}</article></body>') for k in range(200)]
+    out = by_id(html.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")))
+    for f in range(len(frames)):
+        for k in range(6):
+            assert out[100 * f + k][0].text.split("\n\n") == [f"Head {k}", words(12, k), words(28, k + 50)], frames[f]
+    for k in range(200):
+        assert out[1000 + k][0].text == (f"Same top\n\n{words(9, k)}\n\nUpdate" if k == 77 else words(9, k))
+
+
 def test_templates_beyond_the_broadcast_bound(spark, sf, monkeypatch):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     a = sorted(rows(html.extract_pages(pages), "page_id", "text"))
