@@ -30,12 +30,13 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 @functools.lru_cache(2)
-def tokenizer(path: str):
+def tokenizer(path: str, added: bool = False):
     """An encoder, text -> uint32 ids, with the vocabulary of a byte-level ``tokenizers`` JSON file.
 
     The file's tokens are read into the ranks of ``tiktoken``, which gives the
-    same ids several times faster (a test compares both).  Special tokens'
-    strings are ordinary text.
+    same ids several times faster (a test compares both).  ``added``: the
+    file's added tokens are recognised in a text, as the library does by
+    default; otherwise their strings are ordinary text.
     """
     import json
 
@@ -44,11 +45,11 @@ def tokenizer(path: str):
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
     vocab = made["model"]["vocab"]
-    special = {t["content"] for t in made.get("added_tokens", ())}
+    special = {t["content"]: t["id"] for t in made.get("added_tokens", ())}
     back = {c: b for b, c in _byte_letters().items()}
     ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
-    enc = tiktoken.Encoding("file", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
-    return lambda text: enc.encode_to_numpy(text, disallowed_special=())
+    enc = tiktoken.Encoding("file", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens=special if added else {})
+    return lambda text: enc.encode_to_numpy(text, allowed_special="all" if added else set(), disallowed_special=())
 
 
 def _byte_letters() -> dict[int, str]:
@@ -168,7 +169,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str =
             import public_tokenizers
 
             path = public_tokenizers.path(VOCABULARY)
-        encode = tokenizer(str(path))
+        encode = tokenizer(str(path), added=True)
         packer = Packer(max_tokens, max_segments, max_loss, TaskContext.get().partitionId() << 33)
 
         def rows():

@@ -440,6 +440,20 @@ def test_tokenizer_agrees_with_the_library(edge_rows):
         assert list(enc(text)) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_takes_the_ids_of_the_library(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(str(P.path(packing.VOCABULARY)))
+    texts = ["<|endoftext|>", "<|endoftext|> hi", "one <|endoftext|>two", "a\n<|endoftext|><|endoftext|>\n\n b", "don't <|endoftext| > <|ENDOFTEXT|>", " 　日本語<|endoftext|>🙂 12345", "plain"]
+    want = {k: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for k, x in enumerate(texts)}
+    out = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out} == set(want)
+    for r in out:
+        ids = want[r.doc_id]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 def check_pieces(out, docs, limits=(1024, 64, 1024), loss_from=0):
     P = pytest.importorskip("public_tokenizers")
     enc = packing.tokenizer(str(P.path(packing.VOCABULARY)))
