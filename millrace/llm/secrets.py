@@ -103,12 +103,24 @@ def base_spans(text: str, runs: bool = True) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], _ORDER[s[0]]))
 
 
+def uncovered(a: int, b: int, spans) -> list[tuple[int, int]]:
+    """The parts of ``a`` to ``b`` outside ``spans``, which are in order of their starts."""
+    out = []
+    for _, s, e in spans:
+        if s >= b:
+            break
+        if s > a:
+            out.append((a, s))
+        a = max(a, e)
+    return out + [(a, b)] if a < b else out
+
+
 def scan(text: str, runs: bool = True) -> tuple[list, list]:
-    """Base spans, and all spans: entropy adds those that touch no base span."""
+    """Base spans, and all spans: entropy adds what no base span covers."""
     base = base_spans(text, runs)
     more = []
     if runs:
-        more = [("entropy", a, b) for a, b in entropy_spans(text) if not any(a < e and s < b for _, s, e in base)]
+        more = [("entropy", a, b) for span in entropy_spans(text) for a, b in uncovered(*span, base)]
     return base, sorted(base + more, key=lambda s: (s[1], _ORDER[s[0]]))
 
 
