@@ -15,10 +15,15 @@ import numpy as np
 
 
 class RunLengthIndex:
-    """Of ``strings``: bytes one after the other, with the offsets of each string."""
+    """Of strings: their bytes one after the other, the offsets of each, and how often each occurs (once by default).
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    A string that occurs several times is one entry: its other places agree
+    with it to its end.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, count: np.ndarray | None = None):
         self.n = n = len(data)
+        self.count = np.ones(len(offsets) - 1, np.int64) if count is None else count
         lengths = np.diff(offsets)
         self.string = np.repeat(np.arange(len(lengths)), lengths)
         #: bytes from each position to the end of its string
@@ -114,4 +119,4 @@ class RunLengthIndex:
             if len(at):
                 k = np.searchsorted(at, i, "right") - 1
                 best = np.maximum(best, length[k] - (i - at[k]))
-        return best
+        return np.where(self.count[self.string] > 1, self.rest, best)

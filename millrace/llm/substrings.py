@@ -8,11 +8,11 @@ a smaller document or sooner in the same one.
    the first stays and the windows of all others are repeats.
 2. Where an anchor has different contents, the windows of the first run of
    each content are counted one by one, by their hashes.
-3. Repeated windows merge into maximal intervals of words, document by document.
+3. Repeated windows merge into maximal intervals of words, row by row.
 
-Rows of one key arrive sorted and stream through a task; each chunk of texts
-has already reduced what repeats within it to one row, so that a passage that
-very many documents share arrives once per chunk.
+Rows of one key arrive sorted and stream through a task.  Windows are told
+apart by 128 bits and rows by an identity of their own (``identified``), so
+rows without an id, or with one id and different texts, keep their places.
 """
 
 from __future__ import annotations
@@ -24,172 +24,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Prefix, runs_of
-from .shared import written
-from .words import chunks, mix64, words_of
+from .anchors import SECOND, Prefix, complete, runs_of, thinned
+from .shared import identified, written
+from .words import chunks, words_of
 
 WINDOW, GRAM = 20, 5
-#: What a row is: a run or window to be counted, a repeat, or a first run of several contents.
-COUNT, REPEAT, ASK = 0, 1, 2
-LAST = (1 << 63) - 1  # documents without an id come after all others
+#: What a row that has met its like is: a repeat, or the first run of a content whose anchor has others.
+REPEAT, ASK = 0, 1
 
-_ROW = "kind int, anchor long, content long, doc long, start int, n int"
+_ROW = "kind int, key long, c1 long, c2 long, doc long, row long, start int, places int, n int"
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+_MARK = "kind int, doc long, row long, start int, n int"
 
 
-def _batch(kind, anchor, content, doc, start, n) -> pa.RecordBatch:
-    size = len(doc)
-    full = lambda x, t: np.full(size, x, t) if np.isscalar(x) else x.astype(t, copy=False)
-    return pa.RecordBatch.from_arrays([pa.array(full(x, t)) for x, t in ((kind, np.int32), (anchor, np.int64), (content, np.int64), (doc, np.int64), (start, np.int32), (n, np.int32))], names=["kind", "anchor", "content", "doc", "start", "n"])
+def _batch(*columns) -> pa.RecordBatch:
+    kinds = [np.int32, *[np.int64] * 5, *[np.int32] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t, copy=False)) for c, t in zip(columns, kinds)], names=_NAMES)
 
 
-def _ids(column) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
+def _mark(kind: int, doc, row, start, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["kind", "doc", "row", "start", "n"])
 
 
-def _first_of(key: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by key, document and place; in it, which rows begin a key, and which come later than their key's first."""
-    order = np.lexsort((start, doc, *key[::-1]))
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in key], axis=0)
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    later = (doc[order] != doc[head]) | (start[order] != start[head])
-    return order, new, later
+def _rows_of(b: pa.RecordBatch):
+    """Identity of each text of a chunk, and its words with the prefix hashes of both kinds."""
+    w = words_of(b.column(2))
+    h1, h2 = w.hash_pairs()
+    doc, row = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    return doc, row, w, Prefix(h1), Prefix(h2, SECOND)
 
 
 def _runs(batches):
     for b in chunks(batches, "text"):
-        w = words_of(b.column(1))
-        r = runs_of(Prefix(w.hashes()), w.first, WINDOW, GRAM, each=True)
-        doc, start = _ids(b.column(0))[r.text], r.start - w.first[r.text]
-        anchor, content = r.anchor.view(np.int64), r.content.view(np.int64)
-        order, new, later = _first_of([anchor, content], doc, start)
-        kind = np.where(new, COUNT, REPEAT)
-        keep = new | later
-        order, kind = order[keep], kind[keep]
-        # a repeat needs no company: spread by its document
-        key = np.where(kind == COUNT, anchor[order], mix64(doc[order].view(np.uint64) ^ start[order].astype(np.uint64)).view(np.int64))
-        yield _batch(kind, key, content[order], doc[order], start[order], r.windows[order])
-
-
-class _Tail:
-    """The state between batches of sorted rows: the last row's key and the first row of that key."""
-
-    def __init__(self):
-        self.anchor = self.content = self.doc = self.start = None
-        self.pending = None  # the only first run of the current anchor so far
-        self.asked = False
-
-
-def _compare_runs(batches):
-    """Rows sorted by anchor, content, document and place -> repeats, and first runs of anchors with several contents."""
-    s = _Tail()
-    for b in batches:
-        kind, anchor, content, doc, start, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        ready = kind == REPEAT
-        if ready.any():
-            yield _batch(REPEAT, 0, 0, doc[ready], start[ready], n[ready])
-        anchor, content, doc, start, n = (x[~ready] for x in (anchor, content, doc, start, n))
-        if not len(doc):
-            continue
-        new_a = np.ones(len(doc), bool)
-        new_a[1:] = anchor[1:] != anchor[:-1]
-        new_c = new_a.copy()
-        new_c[1:] |= content[1:] != content[:-1]
-        goes_on = s.anchor is not None and anchor[0] == s.anchor
-        if goes_on:
-            new_a[0] = False
-            new_c[0] = content[0] != s.content
-        head = np.maximum.accumulate(np.where(new_c, np.arange(len(doc)), -1))
-        d0 = np.where(head >= 0, doc[head], s.doc if s.doc is not None else 0)
-        s0 = np.where(head >= 0, start[head], s.start if s.start is not None else 0)
-        again = ~new_c & ((doc != d0) | (start != s0))
-        if again.any():
-            yield _batch(REPEAT, 0, 0, doc[again], start[again], n[again])
-        # groups of one anchor in this batch; group 0 may go on from the last batch
-        group = np.cumsum(new_a) - (0 if goes_on else 1)
-        firsts = np.flatnonzero(new_c)
-        types = np.bincount(group[firsts], minlength=int(group[-1]) + 1)
-        several = types > 1
-        if goes_on and types[0] > 0:
-            if s.pending is not None:
-                yield _batch(ASK, s.anchor, 0, *(np.array([x]) for x in s.pending))
-                s.pending = None
-            s.asked = several[0] = True
-        if goes_on and s.asked:
-            several[0] = True
-        ask = firsts[several[group[firsts]]]
-        if len(ask):
-            yield _batch(ASK, anchor[ask], 0, doc[ask], start[ask], n[ask])
-        last = int(group[-1])
-        if not (goes_on and last == 0):
-            s.asked = bool(several[last])
-            k = firsts[group[firsts] == last][-1]
-            s.pending = None if s.asked else (doc[k], start[k], n[k])
-        s.anchor, s.content, s.doc, s.start = anchor[-1], content[-1], d0[-1], s0[-1]
+        doc, row, w, p, q = _rows_of(b)
+        r = runs_of(p, q, w.first, WINDOW, GRAM)
+        yield _batch(*thinned(r.anchor, r.c1, r.c2, doc[r.text], row[r.text], r.start - w.first[r.text], r.windows))
+
+
+def _compare(batches):
+    """Sorted rows -> repeats, and the first runs of contents with company at their anchor."""
+    for heads, company, later in complete(batches):
+        if len(later[0]):
+            yield _mark(REPEAT, later[3], later[4], later[5], later[8])
+        if company.any():
+            _, _, _, doc, row, start, _, _, n = (c[company] for c in heads)
+            yield _mark(ASK, doc, row, start, n)
 
 
 def _windows(batches):
-    """Documents with the runs asked for -> the hash of each window of those runs, once a chunk."""
+    """Rows of texts with the runs asked for -> the hash of each window of those runs, once a chunk."""
     for b in chunks(batches, "text"):
-        asked = b.column(2)
-        counts = np.diff(asked.offsets.to_numpy()) if len(asked) else np.zeros(0, int)
-        counts = np.where(asked.is_valid().to_numpy(zero_copy_only=False), counts, 0)
+        asked = b.column(3)
+        counts = np.where(asked.is_valid().to_numpy(zero_copy_only=False), np.diff(asked.offsets.to_numpy()), 0) if len(asked) else np.zeros(0, int)
         if not counts.any():
             continue
-        b = b.filter(pa.array(counts > 0))
-        flat = b.column(2).flatten()
-        counts = counts[counts > 0]
+        b, counts = b.filter(pa.array(counts > 0)), counts[counts > 0]
+        flat = b.column(3).flatten()
         start, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
         text = np.repeat(np.arange(b.num_rows), counts)
-        w = words_of(b.column(1))
-        prefix = Prefix(w.hashes())
+        doc, row, w, p, q = _rows_of(b)
         at = np.repeat(start + w.first[text], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         text = np.repeat(text, n)
-        ok = at + WINDOW <= w.first[text + 1]
-        at, text = at[ok], text[ok]
-        key = prefix.of(at, WINDOW).view(np.int64)
-        doc, place = _ids(b.column(0))[text], at - w.first[text]
-        order, new, later = _first_of([key], doc, place)
-        kind, keep = np.where(new, COUNT, REPEAT), new | later
-        order, kind = order[keep], kind[keep]
-        spread = np.where(kind == COUNT, key[order], mix64(doc[order].view(np.uint64) ^ place[order].astype(np.uint64)).view(np.int64))
-        yield _batch(kind, spread, 0, doc[order], place[order], 1)
-
-
-def _compare_windows(batches):
-    """Window rows sorted by hash, document and place -> repeats."""
-    key = doc0 = start0 = None
-    for b in batches:
-        kind, anchor, _, doc, start, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        ready = kind == REPEAT
-        again = ready.copy()
-        at = np.flatnonzero(~ready)
-        if len(at):
-            a, d, s = anchor[at], doc[at], start[at]
-            new = np.ones(len(at), bool)
-            new[1:] = a[1:] != a[:-1]
-            new[0] = key is None or a[0] != key
-            head = np.maximum.accumulate(np.where(new, np.arange(len(at)), -1))
-            d0 = np.where(head >= 0, d[head], doc0 if doc0 is not None else 0)
-            s0 = np.where(head >= 0, s[head], start0 if start0 is not None else 0)
-            again[at] = ~new & ((d != d0) | (s != s0))
-            key, doc0, start0 = a[-1], d0[-1], s0[-1]
-        if again.any():
-            yield _batch(REPEAT, 0, 0, doc[again], start[again], n[again])
-
-
-def _met(rows: DataFrame, run, *order: str) -> DataFrame:
-    return rows.repartition("anchor").sortWithinPartitions("anchor", *order).mapInArrow(run, _ROW)
-
-
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``doc, spans``: for each document of ``docs`` (``doc``, ``text``) with repeats, its runs of repeated windows (start, n)."""
-    marks = written(_met(docs.mapInArrow(_runs, _ROW), _compare_runs, "content", "doc", "start"), "runs")
-    asked = marks.filter(f"kind = {ASK}").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
-    counted = _met(docs.join(asked, "doc", "left").select("doc", "text", "asked").mapInArrow(_windows, _ROW), _compare_windows, "doc", "start")
-    repeats = marks.filter(f"kind = {REPEAT}").unionByName(counted)
-    return repeats.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+        k1, k2 = (x.of(at, WINDOW).view(np.int64) for x in (p, q))
+        yield _batch(*thinned(k1, k2, np.zeros(len(k1), np.int64), doc[text], row[text], at - w.first[text], np.ones(len(k1), np.int64)))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "c1", "c2", F.col("row") >= 0, "doc", "row", "start").mapInArrow(_compare, _MARK)
+
+
+def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc, row, spans``: for each row of ``docs`` (as ``identified``) with repeats, its runs of repeated windows (start, n); and the table it reads."""
+    plain = docs.select("doc", "row", "text")
+    marks = written(_met(plain.mapInArrow(_runs, _ROW)), "runs")
+    spans = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.struct("start", "n")))
+    asked = marks.filter(f"kind = {ASK}").groupBy("doc", "row").agg(spans(ASK).alias("asked"))
+    counted = _met(plain.join(asked, ["doc", "row"]).select("doc", "row", "text", "asked").mapInArrow(_windows, _ROW))
+    return marks.unionByName(counted).filter(f"kind = {REPEAT}").groupBy("doc", "row").agg(spans(REPEAT).alias("spans")), marks
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -197,35 +108,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``removed``: maximal removed intervals of words, "start:end" joined by
     commas.  Ids are whole numbers.  Null and wordless texts have no windows;
-    texts of fewer than 20 words lose nothing.  Rows with a null id come after
-    all others.  Rows with one id are one document: repeated rows don't remove
-    one another.  Other columns are not read.
+    texts of fewer than 20 words lose nothing.  Rows are ordered by id, null
+    ids last, and rows of one id or of none by a hash of their text; rows that
+    share both id and text are one document and don't remove one another.
+    Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
-    rows = plain.join(repeated_windows(plain), "doc", "left").select("doc", "text", "spans")
+    plain = identified(docs, id_col, text_col)
+    spans, _ = repeated_windows(plain)
+    rows = plain.join(spans, ["doc", "row"], "left").select("id", "text", "spans")
 
     def run(batches):
         for b in chunks(batches, "text"):
             out = []
-            for doc, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 gone, removed = np.zeros(len(words) + 1, np.int64), ""
                 if spans:
                     for s in spans:
-                        gone[min(s["start"], len(words))] += 1
-                        gone[min(s["start"] + s["n"] + WINDOW - 1, len(words))] -= 1
+                        gone[s["start"]] += 1
+                        gone[s["start"] + s["n"] + WINDOW - 1] -= 1
                     gone = np.cumsum(gone) > 0
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[:-1], [False]]).astype(np.int8)))
                     removed = ",".join(f"{x}:{y}" for x, y in zip(edge[::2], edge[1::2]))
                     kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
                 else:
                     kept = b" ".join(words)
-                out.append((None if doc == LAST else doc, len(words), int((gone > 0).sum()), hashlib.sha256(kept).hexdigest(), removed, kept.decode("utf-8", "surrogatepass") if with_text else None))
+                out.append((len(words), int((gone > 0).sum()), hashlib.sha256(kept).hexdigest(), removed, kept.decode("utf-8", "surrogatepass") if with_text else None))
             cols = list(zip(*out))
-            kinds = [pa.int64()] * 3 + [pa.string()] * 3
-            arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays[: 6 if with_text else 5], names=["doc", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"][: 6 if with_text else 5])
+            kinds = [pa.int64()] * 2 + [pa.string()] * 3
+            arrays = [b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))]
+            yield pa.RecordBatch.from_arrays(arrays[: 6 if with_text else 5], names=["id", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"][: 6 if with_text else 5])
 
-    out = rows.mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string, removed string" + (", kept_text string" if with_text else ""))
-    return out.withColumn("doc", F.col("doc").cast(kind)).withColumnRenamed("doc", id_col)
+    out = rows.mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string, removed string" + (", kept_text string" if with_text else ""))
+    return out.withColumnRenamed("id", id_col)

@@ -100,6 +100,14 @@ class Words:
         return table[self.ids()] if len(known) else np.zeros(0, np.uint64)
 
 
+    def hash_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of each word."""
+        known = self.encoded().dictionary.to_pylist()
+        table = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), np.uint64).reshape(-1, 2)
+        ids = self.ids()
+        return table[ids, 0], table[ids, 1]
+
+
 def words_of(texts: pa.Array, lower: bool = False) -> Words:
     return Words(*text_bytes(texts), lower=lower)
 

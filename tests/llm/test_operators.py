@@ -50,9 +50,10 @@ def test_runs_find_every_repeat():
     rng = np.random.default_rng(3)
     units = rng.integers(0, 4, 400).astype(np.uint64) + np.uint64(1)
     first = np.array([0, 150, 150, 155, 400])
-    r = anchors.runs_of(anchors.Prefix(units), first, 12, 5)
+    r = anchors.runs_of(anchors.Prefix(units), anchors.Prefix(units, anchors.SECOND), first, 12, 5)
     windows = {}
-    for t, s, n, a in zip(r.text, r.start, r.windows, r.anchor):
+    for t, s, n, g, a in zip(r.text, r.start, r.windows, r.gap, r.anchor):
+        assert a == anchors.Prefix(units).all_of(5).view(np.int64)[s + g]
         for k in range(s, s + n):
             assert k + 12 <= first[t + 1]
             windows[k] = a
@@ -61,6 +62,34 @@ def test_runs_find_every_repeat():
     assert len(windows) == sum(max(0, b - a - 11) for a, b in zip(first, first[1:]))
 
 
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_groups_stream(batch):
+    rng = np.random.default_rng(batch)
+    n = 300
+    key, c1, doc, start = (rng.integers(0, k, n) for k in (40, 3, 4, 5))
+    zero, flag = np.zeros(n, np.int64), rng.integers(0, 30, n) == 0
+    order = np.lexsort((start, doc, c1, key))
+    columns = [x[order] for x in (key, c1, zero, doc, zero, start, zero + 1, flag, zero)]
+    want = defaultdict(set)
+    for k, c, d, s in zip(key, c1, doc, start):
+        want[k, c].add((d, s))
+    flagged, contents = {k for k, f in zip(key, flag) if f}, Counter(k for k, _ in want)
+    state, heads, later = anchors.Groups(), [], []
+    for i in range(0, n, batch):
+        (h, company), more = state.push([x[i : i + batch] for x in columns])
+        heads += list(zip(*(x.tolist() for x in h), company.tolist()))
+        later += list(zip(*(x.tolist() for x in more)))
+    (h, company), _ = state.push([x[:0] for x in columns], last=True)
+    heads += list(zip(*(x.tolist() for x in h), company.tolist()))
+    assert {(h[0], h[1]) for h in heads} == set(want) and len(heads) == len(want)
+    for h in heads:
+        places = want[h[0], h[1]]
+        assert (h[3], h[5]) == min(places) and h[6] == len(places)
+        assert h[9] or not (contents[h[0]] > 1 or {x[0] for x in [h]} & {k for k, c in want if (k, c) == h[:2] and flag[(key == k) & (c1 == c)].any()})
+        assert not h[9] or contents[h[0]] > 1 or h[0] in flagged
+    assert sorted((x[0], x[1], x[3], x[5]) for x in later) == sorted((k, c, *p) for (k, c), ps in want.items() for p in ps if p != min(ps))
+
+
 # 1 quality
 
 
@@ -201,44 +230,107 @@ def test_redaction(spark):
 # 4 and 5 repeats
 
 
-def test_substring_dedup(edge_docs, edge_rows, no_docs):
-    last = 1 << 62
-    own = sorted({(last if i is None else i, t or "") for i, t, _ in edge_rows})
-    first, w = {}, {i: t.encode().split() for i, t in own}
-    for i in sorted(w):
-        for k in range(len(w[i]) - 19):
-            first.setdefault(tuple(w[i][k : k + 20]), (i, k))
-    got = substrings.substring_dedup(edge_docs, with_text=True)
-    assert got.count() == len(edge_rows)
-    for r in got.collect():
-        i = last if r.doc_id is None else r.doc_id
-        gone = np.zeros(len(w[i]), bool)
-        for k in range(len(w[i]) - 19):
-            if first[tuple(w[i][k : k + 20])] != (i, k):
+def ordered(rows):
+    """Rows as (order, id, text): by id, null ids last, then by Spark's hashes of the text; equal rows are one."""
+    low, first = F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)), F.coalesce("doc_id", F.xxhash64(F.lit("text"), "text"))
+    return [((r.doc_id is None, r.a, r.b), r.doc_id, r.text) for r in rows.select("doc_id", "text", first.alias("a"), low.alias("b")).collect()]
+
+
+def substrings_plain(all_rows):
+    """(id, text) -> removed words, as a mask."""
+    first = {}
+    for at, _, t in sorted(all_rows, key=lambda r: r[0]):
+        w = (t or "").encode().split()
+        for k in range(len(w) - 19):
+            first.setdefault(tuple(w[k : k + 20]), (at, k))
+    out = {}
+    for at, i, t in all_rows:
+        w = (t or "").encode().split()
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - 19):
+            if first[tuple(w[k : k + 20])] != (at, k):
                 gone[k : k + 20] = True
-        kept = b" ".join(x for x, g in zip(w[i], gone) if not g)
-        assert (r.n_words, r.n_removed, r.kept_sha256, r.kept_text.encode()) == (len(gone), gone.sum(), SHA(kept), kept)
-    assert substrings.substring_dedup(no_docs).count() == 0
+        out[i, t] = gone
+    return out
 
 
-@pytest.mark.parametrize("most_runs", [4000, 1])
-def test_long_matches(edge_docs, edge_rows, no_docs, most_runs):
-    last = 1 << 62
-    texts = {last if i is None else i: (t or "").encode() for i, t, _ in edge_rows}
+def long_plain(all_rows):
+    texts = {(i, t): (t or "").encode() for _, i, t in all_rows}
     count = Counter(t[k : k + 200] for t in texts.values() for k in range(len(t) - 199))
-    got = longmatches.long_match_dedup(edge_docs, with_bytes=True, most_runs=most_runs)
-    for r in got.collect():
-        t = texts[last if r.doc_id is None else r.doc_id]
+    out = {}
+    for key, t in texts.items():
         gone = np.zeros(len(t), bool)
         for k in range(len(t) - 199):
             if count[t[k : k + 200]] > 1:
                 gone[k : k + 200] = True
-        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept_bytes)) == (len(t), gone.sum(), spans, SHA(kept), kept)
+        out[key] = gone
+    return out
+
+
+def check_substrings(docs):
+    want = substrings_plain(ordered(docs))
+    got = substrings.substring_dedup(docs, with_text=True).collect()
+    left = Counter()
+    for (i, t), gone in want.items():
+        kept = b" ".join(x for x, g in zip((t or "").encode().split(), gone) if not g)
+        left[i, len(gone), int(gone.sum()), SHA(kept), kept.decode()] += 1
+    assert set((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got) == set(left)
+    assert len(got) == docs.count()
+
+
+def check_long(docs):
+    want = long_plain(ordered(docs))
+    got = longmatches.long_match_dedup(docs, with_bytes=True).collect()
+    left = set()
+    for (i, t), gone in want.items():
+        kept = np.frombuffer((t or "").encode(), np.uint8)[~gone].tobytes()
+        left.add((i, len(gone), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), SHA(kept), kept))
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept_bytes)) for r in got} == left
+    assert len(got) == docs.count()
+
+
+def test_substring_dedup(edge_docs, no_docs):
+    check_substrings(edge_docs)
+    assert substrings.substring_dedup(no_docs).count() == 0
+
+
+def test_long_matches(edge_docs, no_docs):
+    check_long(edge_docs)
     assert longmatches.long_match_dedup(no_docs).count() == 0
 
 
+@pytest.fixture(scope="module")
+def shared_ids(spark):
+    """Rows without an id and rows of one id with different texts; Q and R repeat nothing."""
+    p, q, r = (" ".join(f"{c}word{k}" for k in range(90)) for c in "pqr")
+    data = [(1, p), (None, "x " + p), (None, q), (7, "y " + p), (7, r), (None, "x " + p), (7, None), (None, None), ((1 << 63) - 1, "z " + p), (None, ""), (7, r)]
+    return spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+
+
+def test_rows_of_one_id_keep_their_places(shared_ids):
+    check_substrings(shared_ids)
+    check_long(shared_ids)
+    for run in (substrings.substring_dedup, longmatches.long_match_dedup):
+        out = run(shared_ids).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("n_removed").alias("least"), F.max("n_removed").alias("most")).collect()
+        got = {r.doc_id: r for r in out}
+        assert got[7].n == 4 and got[None].n == 5 and got[(1 << 63) - 1].most > 0 and got[7].least == got[None].least == 0 and got[None].most > 0
+
+
+def test_short_lines_in_many_surroundings(spark, monkeypatch):
+    """A line shorter than a window, and one a little shorter, in very many documents; passages that some of them share."""
+    names = []
+    monkeypatch.setattr(longmatches, "INDEX_BYTES", 3000)
+    monkeypatch.setattr(longmatches, "written", lambda df, name, w=longmatches.written: names.append(name) or w(df, name))
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, n))
+    line, long, whole, passage = word(9), word(17), word(23), word(40)
+    data = [(k, f"{word(30)} {(line, long, whole)[k % 3]} {word(30)} {passage if k % 5 == 0 else ''} {(line, long, whole)[k % 2]} {word(2)}") for k in range(150)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    check_substrings(docs)
+    check_long(docs)
+    assert {"matches-43", "matches-8", "matches-1"} <= set(names)
+
+
 def test_run_length_index():
     rng = np.random.default_rng(1)
     for trial in range(40):
