@@ -1,8 +1,9 @@
 """ISO media containers: write, walk and read back.
 
 ``walk`` follows nested boxes, decodes the sample tables of every track and
-gives codec, duration and the byte ranges of keyframes; it never looks into
-``mdat``.  ``wrap`` stores a payload losslessly as 8-bit samples in such a
+gives codec, duration and the times and byte ranges of keyframes; it never
+looks into ``mdat``.  Whatever is not well formed, or claims more than
+``MOST_SAMPLES`` samples, is a ``MediaError``.  ``wrap`` stores a payload losslessly as 8-bit samples in such a
 container, so that a column of bytes can be tested end to end.
 """
 
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 CONTAINERS = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "edts": 0, "dinf": 0, "udta": 0, "mvex": 0, "moof": 0, "traf": 0}
 #: Samples per second of a stored payload, samples in a chunk, and chunks from one keyframe to the next.
 RATE, PER_CHUNK, KEY_EVERY = 8000, 4096, 8
+#: Boxes in one another, and samples of a track, beyond which a file is refused.
+MOST_DEEP, MOST_SAMPLES = 64, 1 << 24
 
 
 class MediaError(ValueError):
@@ -85,6 +88,8 @@ def wrap(payload: bytes) -> bytes:
 def boxes(data, start: int = 0, end: int | None = None, path: str = ""):
     """(path, body start, body end) of each box, parents before children."""
     end = len(data) if end is None else end
+    if path.count("/") > MOST_DEEP:
+        raise MediaError(f"boxes nest too deep at {start}")
     while start < end:
         if end - start < 8:
             raise MediaError(f"{end - start} stray bytes at {start}")
@@ -138,7 +143,7 @@ def walk(data) -> list[dict]:
                 t["per_chunk"] = _table(data, at, end, "III")
             elif kind == "stsz":
                 same, n = struct.unpack_from(">II", data, at + 4)
-                if not same and at + 12 + 4 * n > end:
+                if n > MOST_SAMPLES or not same and at + 12 + 4 * n > end:
                     raise MediaError(f"table at {at} has {n} rows")
                 t["sizes"] = [same] * n if same else list(struct.unpack_from(f">{n}I", data, at + 12))
             elif kind in ("stco", "co64"):
@@ -160,17 +165,28 @@ def _placed(t: dict) -> dict:
             if not 1 <= c <= len(chunks):
                 raise MediaError(f"no chunk {c}")
             pos = chunks[c - 1]
-            for _ in range(n):
-                if sample == len(sizes):
-                    break
+            for _ in range(min(n, len(sizes) - sample)):
                 at.append((pos, pos + sizes[sample]))
                 pos += sizes[sample]
                 sample += 1
     if sample != len(sizes):
         raise MediaError(f"{len(sizes)} samples, {sample} placed")
-    keys = t.get("keys", range(1, len(sizes) + 1))
+    keys = [k for k in t.get("keys", range(1, len(sizes) + 1)) if 1 <= k <= len(at)]
+    times = _key_times(t.get("times", []), keys)
     scale = t.get("timescale") or 1
-    return {"codec": t.get("codec", ""), "handler": t.get("handler", ""), "timescale": scale, "duration": t.get("duration", 0), "samples": at, "keyframes": [at[k - 1] for k in keys if 1 <= k <= len(at)]}
+    return {"codec": t.get("codec", ""), "handler": t.get("handler", ""), "timescale": scale, "duration": t.get("duration", 0), "samples": at, "keyframes": [at[k - 1] for k in keys], "key_times": times}
+
+
+def _key_times(runs: list[tuple], keys: list[int]) -> list[int]:
+    """When each keyframe is shown, in units of the timescale: the durations of the samples before it."""
+    out, run, passed, time = [], 0, 0, 0
+    for k in sorted(keys):
+        while run < len(runs) and passed + runs[run][0] < k:
+            passed, time, run = passed + runs[run][0], time + runs[run][0] * runs[run][1], run + 1
+        if run == len(runs):
+            raise MediaError(f"no duration for sample {k}")
+        out.append(time + (k - 1 - passed) * runs[run][1])
+    return out
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -194,7 +210,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     One row per input row: ``n_bytes``, ``payload_bytes``, ``payload_sha256``,
     ``tail_crc32``, ``media_bytes``, ``media_sha256``, ``feature`` (JSON with
-    codec, duration in units of the timescale and keyframe byte ranges).
+    codec, duration in units of the timescale, keyframe byte ranges and times).
     A null text counts as empty and a null id stays null; equal texts give
     equal values; other columns of ``docs`` are not read.
     """
@@ -207,7 +223,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 stored = wrap(pad(raw))
                 (track,) = walk(stored)
                 back = read_back(stored, track)
-                feature = {"codec": track["codec"].strip(), "handler": track["handler"], "timescale": track["timescale"], "duration": track["duration"], "keyframes": [list(k) for k in track["keyframes"]]}
+                feature = {"codec": track["codec"].strip(), "handler": track["handler"], "timescale": track["timescale"], "duration": track["duration"], "keyframes": [list(k) for k in track["keyframes"]], "key_times": track["key_times"]}
                 rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), json.dumps(feature, separators=(",", ":"))))
             cols = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

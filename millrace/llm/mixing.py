@@ -8,9 +8,9 @@ words transferred between them, up or down at random without bias, until one
 fraction is 0 or 1, and the other goes on.  Expected copies are kept for each document and
 the source's words stay constant but for the last fraction.
 
-Documents are rounded in blocks of bounded size, each block leaving one
-document with a fraction; those residuals meet in a reduction tree, ``FAN_IN``
-at a time, so no task sees a whole source.
+Documents are rounded in blocks of bounded size, dealt by id, size and text,
+each block leaving one document with a fraction; those residuals meet in a
+reduction tree, ``FAN_IN`` at a time, so no task sees a whole source.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from .shared import written
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3.0
 #: Documents of a block, and residuals that meet in a node of the tree.
-BLOCK, FAN_IN = 4096, 64
+BLOCK, FAN_IN = 1024, 64
+#: Tasks that blocks are dealt to at most.
+MOST_TASKS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -125,20 +127,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ceil(``max_repeats``) of them.  Null texts and texts without words have
     size 0 and nothing is taken of them.  A null source is a source of its
     own.  Rows with a null or repeated id are rounded one by one like any
-    other.  Blocks are formed from ids and sizes, so reruns agree.  An empty
-    table gives an empty result; other columns are not read.
+    other.  Blocks are formed from ids, sizes and texts, so reruns agree.  An
+    empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("block"))
     sized = written(sized, "mix-sizes")
     targets = source_targets(sized, weights, max_repeats)
-    n = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    blocks = -(-n // BLOCK) or 1
+    n = sized.groupBy("source").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    blocks = -(-(n["most"] or 0) // BLOCK) or 1
+    tasks = max(1, min(-(-(n["all"] or 0) // BLOCK), MOST_TASKS))
 
-    rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target")
+    rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "d.block")
     copies = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumns({"whole": F.floor(copies).cast("long"), "part": copies - F.floor(copies), "block": F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(blocks))})
+    rows = rows.withColumns({"whole": F.floor(copies).cast("long"), "part": copies - F.floor(copies), "block": F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "block"), F.lit(blocks))})
     schema = f"doc_id {kind}, source string, size long, source_size long, target double, whole long, part double, block long, open boolean"
 
     def level(frame: DataFrame, step: int) -> DataFrame:
@@ -156,11 +159,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pdf["block"] = pdf["block"] // FAN_IN
             return pdf
 
-        out = frame.groupBy("source", "block").applyInPandas(run, schema)
+        # as many tasks as there are blocks: small rows, but much to do for each
+        out = frame.repartition(max(1, tasks // FAN_IN**step), "source", "block").groupBy("source", "block").applyInPandas(run, schema)
         return written(out, f"mix-{step}")
 
-    step, parts = 0, []
-    now = level(rows, 0)
+    # what has no fraction needs no rounding
+    step, parts = 0, [rows.filter("part = 0").withColumn("open", F.lit(False))]
+    now = level(rows.filter("part > 0"), 0)
     while True:
         parts.append(now.filter("not open"))
         if blocks <= 1:

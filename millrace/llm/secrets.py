@@ -3,7 +3,8 @@
 A candidate is a maximal run of a character class.  A window of fixed length
 slides over it; the counts of its characters change by one in and one out, and
 with them the window's Shannon entropy.  Windows at or above the class's
-threshold join into spans unless the candidate is on the allow-list.
+threshold join into spans, but for those that the allow-list covers: windows
+that hold a short allowed string, or lie by half or more in a long one.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ CLASSES = (
     ("alnum", re.compile("[0-9A-Za-z]{%d,}" % WINDOW), 3.6, 3),
     ("base64", re.compile("[0-9A-Za-z+/=_-]{%d,}" % WINDOW), 3.8, 3),
 )
-#: Candidates that are no secrets: UUIDs, dates and times, alphabets in order, placeholders.
+#: Strings that are no secrets: UUIDs, dates and times, alphabets in order, placeholders.
 ALLOW = (
     re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![0-9A-Fa-f])"),
     re.compile(r"\d{4}-\d\d-\d\d"),
@@ -56,30 +57,35 @@ def windows(candidate: str, window: int = WINDOW):
     kinds = {1: 0, 2: 0, 4: 0, 8: 0}
     total = 0.0  # sum of n log n over the counts
     for i, c in enumerate(candidate):
-        n = counts.get(c, 0)
-        total += _NLOGN[n + 1] - _NLOGN[n]
-        counts[c] = n + 1
-        kinds[_kind(c)] += 1
         if i >= window:
             old = candidate[i - window]
             n = counts[old]
             total += _NLOGN[n - 1] - _NLOGN[n]
             counts[old] = n - 1
             kinds[_kind(old)] -= 1
+        n = counts.get(c, 0)
+        total += _NLOGN[n + 1] - _NLOGN[n]
+        counts[c] = n + 1
+        kinds[_kind(c)] += 1
         if i >= window - 1:
             yield i - window + 1, log2(window) - total / window, sum(n > 0 for n in kinds.values())
 
 
+def _suppressed(m: re.Match) -> tuple[int, int]:
+    """The first and the last start of windows that an allowed string covers."""
+    need = min(m.end() - m.start(), WINDOW // 2)
+    return m.start() + need - WINDOW, m.end() - need
+
+
 def entropy_spans(text: str, allow=ALLOW) -> list[tuple[int, int]]:
     """Maximal spans covered by windows of high entropy, over all classes."""
     found: list[tuple[int, int]] = []
     for _, runs, bits, kinds in CLASSES:
         for m in runs.finditer(text):
             run = m.group()
-            if any(a.search(run) for a in allow):
-                continue
+            fine = [_suppressed(a) for pattern in allow for a in pattern.finditer(run)]
             for at, h, k in windows(run):
-                if h >= bits and k >= kinds:
+                if h >= bits and k >= kinds and not any(a <= at <= b for a, b in fine):
                     found.append((m.start() + at, m.start() + at + WINDOW))
     found.sort()
     out: list[list[int]] = []

@@ -7,6 +7,7 @@ import html as H
 import json
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -220,6 +221,29 @@ def test_entropy_beside_base_spans(spark):
         assert not secrets.scan(r.text)[1] and key not in r.text and key[::-1] not in r.text
 
 
+def test_allowed_strings_cover_their_windows_only():
+    key = "Zq8fVx2LmP9wK4tRb7YcN1sJ6"
+    assert secrets.entropy_spans(key) == [(0, 25)]
+    (got,) = secrets.entropy_spans(f"{key}yourQ")
+    assert got[0] == 0 and got[1] >= 25
+    (got,) = secrets.entropy_spans(f"example{key}")
+    assert got[0] <= 7 and got[1] == 32
+    assert secrets.entropy_spans("id-123e4567-e89b-12d3-a456-426614174000-2024-01-02") == []
+    # the spans of a document are those of a plain scan of all windows
+    for text in (f"{key} and {key[::-1]}/your/{key}", f"x2024-01-02{key}0123456789", key * 3):
+        want = set()
+        for _, runs, bits, kinds in secrets.CLASSES:
+            for m in runs.finditer(text):
+                run = m.group()
+                fine = [(a.start(), a.end(), min(a.end() - a.start(), 10)) for p in secrets.ALLOW for a in p.finditer(run)]
+                for k in range(len(run) - 19):
+                    c = Counter(run[k : k + 20])
+                    h = -sum(n / 20 * math.log2(n / 20) for n in c.values())
+                    if h >= bits - 1e-12 and len({secrets._kind(x) for x in c}) >= kinds and all(min(k + 20, b) - max(k, a) < need for a, b, need in fine):
+                        want |= set(range(m.start() + k, m.start() + k + 20))
+        assert {x for a, b in secrets.entropy_spans(text) for x in range(a, b)} == want
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', 5), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     out = {r.doc_id: r for r in secrets.redact_secrets(docs).collect()}
@@ -391,6 +415,22 @@ def test_mixing(edge_docs, edge_rows, no_docs):
     assert mixing.mix_sources(no_docs).count() == 0
 
 
+def test_rows_without_ids_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 32)
+    seen = spark.sparkContext.accumulator(0)
+    docs = spark.createDataFrame([(None, f"a b c{k}", "s0") for k in range(1500)] + [(k, "x y", "s1") for k in range(500)], "doc_id long, text string, source string")
+    pivot = mixing._pivot
+
+    def counted(p, size, u):
+        assert len(p) < 150
+        seen.add(1)
+        return pivot(p, size, u)
+
+    monkeypatch.setattr(mixing, "_pivot", counted)
+    out = mixing.mix_sources(docs).groupBy("source_size").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect()
+    assert len(out) == 2 and all(abs(r.n - r.t) <= 3 for r in out) and seen.value > 20
+
+
 def test_rounding_tree_is_unbiased(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 16)
     monkeypatch.setattr(mixing, "FAN_IN", 2)
@@ -541,22 +581,24 @@ def test_probabilities_sum_to_one(spark, sf):
 # 9 packing
 
 
-def test_tokenizer_agrees_with_the_library(edge_rows):
+def library():
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(str(P.path(packing.VOCABULARY)))
-    t.encode_special_tokens = True
-    enc = packing.tokenizer(str(P.path(packing.VOCABULARY)))
-    for text in [r[1] or "" for r in edge_rows] + ["<|endoftext|> hi", "don't  stop\n\n x", " 　日本語 🙂 12345", "  "]:
-        assert list(enc(text)) == t.encode(text, add_special_tokens=False).ids
+    path = str(P.path(packing.VOCABULARY))
+    return path, Tokenizer.from_file(path)
 
 
-def test_packing_takes_the_ids_of_the_library(spark):
-    P = pytest.importorskip("public_tokenizers")
-    from tokenizers import Tokenizer
+def test_tokenizer_agrees_with_the_library(edge_rows):
+    path, t = library()
+    enc = packing.tokenizer(path)
+    long = [" " * 3_000_000, "a" + "\n" * 1_000_000 + "b", "x" * 1_000_000, "a <|endoftext|> b " * 9 + " " * 60_000, "ab" * 100_000 + "\u3000" * 70_000]
+    for text in [r[1] or "" for r in edge_rows] + ["<|endoftext|> hi", "don't  stop\n\n x", " 　日本語 🙂 12345", "  ", *long]:
+        assert enc(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
 
-    t = Tokenizer.from_file(str(P.path(packing.VOCABULARY)))
+def test_packing_takes_the_ids_of_the_library(spark):
+    _, t = library()
     texts = ["<|endoftext|>", "<|endoftext|> hi", "one <|endoftext|>two", "a\n<|endoftext|><|endoftext|>\n\n b", "don't <|endoftext| > <|ENDOFTEXT|>", " 　日本語<|endoftext|>🙂 12345", "plain"]
     want = {k: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for k, x in enumerate(texts)}
     out = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
@@ -566,9 +608,9 @@ def test_packing_takes_the_ids_of_the_library(spark):
         assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
 
 
-def check_pieces(out, docs, limits=(1024, 64, 1024), loss_from=0):
-    P = pytest.importorskip("public_tokenizers")
-    enc = packing.tokenizer(str(P.path(packing.VOCABULARY)))
+def check_pieces(out, docs, limits=(1024, 32, 1024), loss_from=0):
+    _, whole = library()
+    enc = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
     ids = defaultdict(list)
     for i, t, *_ in docs:
         ids[i].append(np.append(enc(t or ""), np.uint32(0)))
@@ -578,11 +620,11 @@ def check_pieces(out, docs, limits=(1024, 64, 1024), loss_from=0):
         bins[r.sequence_id].append(r)
     assert set(pieces) == set(ids)
     for i, rs in pieces.items():
-        copies, whole = len(ids[i]), ids[i][0]
+        copies, own = len(ids[i]), ids[i][0]
         rs.sort(key=lambda r: r.start)
-        cover = np.zeros(len(whole) + 1, int)
+        cover = np.zeros(len(own) + 1, int)
         for r in rs:
-            assert r.doc_tokens == len(whole) and r.ids_crc32 == zlib.crc32(whole[r.start : r.start + r.length].astype("<u4").tobytes())
+            assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].astype("<u4").tobytes())
             cover[r.start] += 1
             cover[r.start + r.length] -= 1
         assert (np.cumsum(cover)[:-1] == copies).all()
@@ -605,7 +647,7 @@ def test_packing(edge_docs, edge_rows, no_docs):
     tight = packing.pack_documents(edge_docs, max_segments=2, max_loss=300).collect()
     check_pieces(tight, edge_rows, (1024, 2, 300))
     late = packing.pack_documents(edge_docs.withColumn("from", F.lit(200)), loss_from_col="from", max_loss=100).collect()
-    check_pieces(late, edge_rows, (1024, 64, 100), 200)
+    check_pieces(late, edge_rows, (1024, 32, 100), 200)
 
 
 # 10 media
@@ -620,9 +662,23 @@ def test_container_round_trip(n):
     (t,) = media.walk(stored)
     assert media.read_back(stored, t) == payload and t["duration"] == n and t["codec"] == "raw "
     assert len(t["keyframes"]) == -(-len(t["samples"]) // media.KEY_EVERY)
+    assert t["key_times"] == [k * media.KEY_EVERY * media.PER_CHUNK for k in range(len(t["keyframes"]))]
     assert media.walk(stored[: stored.index(b"mdat") - 4]) == [t]  # the payload isn't looked at
 
 
+def test_hostile_containers():
+    nested = b""
+    for _ in range(3000):
+        nested = struct.pack(">I4s", len(nested) + 8, b"trak") + nested
+    equal = media._box("trak", media._full("stsz", struct.pack(">II", 1, (1 << 32) - 1)))
+    good = media.wrap(b"\0" * 9000)
+    few_times = good.replace(b"stts\0\0\0\0\0\0\0\2\0\0\0\2", b"stts\0\0\0\0\0\0\0\2\0\0\0\0").replace(b"stss\0\0\0\0\0\0\0\1\0\0\0\1", b"stss\0\0\0\0\0\0\0\1\0\0\0\3")
+    assert few_times != good
+    for bad in (nested, equal, few_times):
+        with pytest.raises(media.MediaError):
+            media.walk(bad)
+
+
 def test_broken_containers():
     good = media.wrap(b"\0" * 64)
     for bad in (good[:-1], good + b"abc", good.replace(b"stsz\0\0\0\0\0\0\0\0\0\0\0\1", b"stsz\0\0\0\0\0\0\0\0\0\0\xff\1")):
