@@ -534,48 +534,96 @@ def test_templates_beyond_the_broadcast_bound(spark, sf, monkeypatch):
 # 8 language model
 
 
-@pytest.mark.parametrize("head", [brown.HEAD, 50])
-def test_scores(edge_docs, edge_rows, no_docs, head):
+def plain_scores(texts, held, classes):
+    """Brown scores of ``texts`` (lists of tokens, None at the end) from classes of words, by counting pairs one by one."""
+    c = Counter(w for t, h in zip(texts, held) if not h for w in t)
+    once = [w for w in c if c[w] == 1 and w is not None]
+    in_class = Counter(classes[w] for w in once)
+    unknown = max(in_class, key=lambda k: (in_class[k], -k)) if once else brown.REST
+    between, size = np.full((brown.CLASSES, brown.CLASSES), brown.ALPHA), Counter()
+    for t, h in zip(texts, held):
+        if h:
+            continue
+        for a, b in zip([None, *t], t):
+            ka, kb = (0 if w is None else classes[w] for w in (a, b))
+            between[ka, kb] += 1
+            size[kb] += 1
+            between[ka, unknown] += b is not None and c[b] == 1
+            between[unknown, kb] += a is not None and c[a] == 1
+    mass = max(1, len(once))
+    size[unknown] += mass
+    t_log = np.log10(between / between.sum(axis=1, keepdims=True))
+
+    def score(t):
+        k = [0 if w is None else classes[w] if w in c else unknown for w in t]
+        return sum(t_log[a, b] for a, b in zip([0, *k], k)) + sum(math.log10((c[w] or mass) / size[x]) for w, x in zip(t, k) if w is not None)
+
+    return [score(t) for t in texts]
+
+
+@pytest.mark.parametrize("head", [brown.HEAD, 50, 0])
+def test_scores(spark, edge_docs, edge_rows, no_docs, head):
     tokens = lambda t: [*plain.low_words(t), None]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     c = Counter(w for i, t, _ in edge_rows if not held(i) for w in tokens(t))
     n, v = sum(c.values()), len(c)
     out = by_id(brown.score_documents(edge_docs, head=head))
+    docs = edge_docs.select(F.col("doc_id").alias("id"), "text")
+    _, words, _ = brown.train(docs, brown.word_counts(docs), head)
+    by_hash = {r.h: (r.c, r.cls) for r in words.collect()}
+    of = lambda w: by_hash[int(np.array([brown.xxhash.xxh64_intdigest(w.encode())], np.uint64).view(np.int64)[0])]
+    assert {w: of(w)[0] for w in c if w is not None} == {w: k for w, k in c.items() if w is not None}
+    assert len({of(w)[1] for w in c if w is not None}) > 20
+    scores = plain_scores([tokens(t) for _, t, _ in edge_rows], [held(i) for i, _, _ in edge_rows], {w: of(w)[1] for w in c if w is not None})
     assert sum(map(len, out.values())) == len(edge_rows)
-    for i, t, _ in edge_rows:
+    for (i, t, _), score in zip(edge_rows, scores):
         for r in out[i]:
             w = tokens(t)
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w), sum(x in c for x in w), n)
             assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-            assert r.score < 0
+            assert math.isclose(r.score, score, rel_tol=1e-9)
     assert brown.score_documents(no_docs).count() == 0
 
 
+def test_scores_without_training_texts(spark):
+    held = next(k for k in range(100) if brown.fold(k) == brown.HELD_OUT)
+    (r,) = brown.score_documents(spark.createDataFrame([(held, "a b c")], "doc_id long, text string")).collect()
+    assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 4, 0, 0, 0.0) and r.score < 0
+
+
 def test_class_model_beats_unigrams_on_held_out_texts(spark, sf):
     out = brown.score_documents(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
     assert out.s > out.b
 
 
 def test_exchange_separates_what_never_mixes():
-    pairs = np.zeros((9, 9))
+    pairs = np.zeros((10, 10))
     for side in ((1, 2, 3, 4), (5, 6, 7, 8)):
         for a in side:
             pairs[0, a] = pairs[a, 0] = 1
             for b in side:
                 pairs[a, b] = 10
-    cls = brown.exchange(pairs, classes=3)
-    assert len({cls[k] for k in (1, 2, 3, 4)}) == len({cls[k] for k in (5, 6, 7, 8)}) == 1 and cls[1] != cls[5] and cls[0] == 0
+    cls = brown.exchange(pairs, classes=4)
+    assert len({cls[k] for k in (1, 2, 3, 4)}) == len({cls[k] for k in (5, 6, 7, 8)}) == 1 and cls[1] != cls[5] and cls[0] == 0 and cls[9] == 3
+
+
+def test_words_are_placed_by_their_surroundings():
+    """An occurrence between classes that only one class stands between speaks for that class."""
+    between = np.zeros((brown.CLASSES, brown.CLASSES))
+    between[0, 1] = between[1, 2] = between[2, 0] = between[0, 3] = between[3, 4] = between[4, 0] = 50
+    gain = brown.gains(between)
+    assert gain[0 * brown.CLASSES + 2].argmax() == 1 and gain[0 * brown.CLASSES + 4].argmax() == 3
+    assert (gain[:, 0] == -np.inf).all() and brown.gains(np.zeros_like(between)).argmax(axis=1).max() == brown.REST
 
 
 def test_probabilities_sum_to_one(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    counts = brown.word_counts(docs).cache()
-    m = brown.train(docs, counts)
+    m, words, _ = brown.train(docs, brown.word_counts(docs))
     assert np.allclose((10**m.transition).sum(axis=1), 1)
-    got = counts.toPandas()
-    unit = np.where(got.e == 0, 0, m.units(got.h.to_numpy(), got.e.to_numpy()))
-    known = np.bincount(m.unit_class[unit], got.c - m.discount, brown.CLASSES)
-    assert np.allclose((known + 10**m.unknown) / 10**m.size, 1)
+    got = words.toPandas()
+    known = np.bincount(got.cls, got.c, brown.CLASSES)
+    known[m.unknown_class] += 10**m.unknown
+    assert np.allclose(known[1:], (10**m.size)[1:] * (known[1:] > 0)) or np.allclose((known / 10**m.size)[known > 0], 1)
 
 
 # 9 packing
