@@ -105,7 +105,7 @@ def spread(*columns: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _changes(columns, out: np.ndarray | None = None) -> np.ndarray:
+def changes(columns, out: np.ndarray | None = None) -> np.ndarray:
     """Rows that differ from the one before in any column."""
     new = np.zeros(len(columns[0]), bool) if out is None else out
     new[:1] = True
@@ -138,12 +138,12 @@ def thinned(key, c1, c2, doc, row, start, *more) -> list[np.ndarray]:
         return [kind, *(x[alone] for x in columns[:6]), places, *(x[alone] for x in more)]
     order = met[np.lexsort((start[met], row[met], doc[met], row[met] >= 0, c2[met], c1[met], key[met]))]
     m = [x[order] for x in columns]
-    new = _changes(m[:3])
-    fresh = _changes(m[3:6], new.copy())  # the same place twice is a repeated row
+    new = changes(m[:3])
+    fresh = changes(m[3:6], new.copy())  # the same place twice is a repeated row
     m, new = [x[fresh] for x in m], new[fresh]
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, len(new)))
-    key_new = _changes([m[0][head]])
+    key_new = changes([m[0][head]])
     several = (np.diff(np.append(np.flatnonzero(key_new), len(head))) > 1)[np.cumsum(key_new) - 1]
     m_kind, m_places = np.full(len(new), LATER), np.ones(len(new), np.int64)
     m_kind[head], m_places[head] = np.where(several, SEVERAL, COUNT), size
@@ -172,7 +172,7 @@ class Groups:
         size = len(columns[0])
         if not size:
             return None, None
-        new = _changes(columns[:3])
+        new = changes(columns[:3])
         place = columns[3:6]
         same = np.zeros(size, bool)
         same[1:] = ~new[1:] & np.all([c[1:] == c[:-1] for c in place], axis=0)

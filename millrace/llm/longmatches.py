@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import SECOND, Prefix, complete, runs_of, spread, thinned
+from .anchors import SECOND, Prefix, changes, complete, runs_of, spread, thinned
 from .rindex import RunLengthIndex
 from .shared import drop_written, identified, join_by_key, written
 from .words import chunks, mix64, text_bytes
@@ -35,8 +35,8 @@ from .words import chunks, mix64, text_bytes
 WINDOW, GRAM = 200, 32
 #: Windows of a piece, from level to level.
 PIECES = (43, 8, 1)
-#: Bytes of an index and of a group in one, and strings of one group in a chunk of text from which on it is known to be too large.
-INDEX_BYTES, CROWD = 1 << 20, 16
+#: Bytes of an index, of one group in it, and strings of one group in a chunk of text from which on it is known to be too large.
+INDEX_BYTES, GROUP_BYTES, CROWD = 1 << 20, 1 << 18, 4
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 
@@ -94,6 +94,11 @@ def _pieces(width: int):
             flat = asked.flatten()
             c1, c2, start, places, shape, off = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6))
             text = np.repeat(np.arange(b.num_rows), counts)
+            doc, row = (b.column(k).to_numpy(zero_copy_only=False)[text] for k in (0, 1))
+            # a place once, with the most places that are known of its content
+            order = np.lexsort((-places, start, row, doc))
+            k = order[changes([x[order] for x in (doc, row, start)])]
+            text, doc, row, c1, c2, start, places, shape, off = (x[k] for x in (text, doc, row, c1, c2, start, places, shape, off))
             n, gap = shape % 1024, shape // 1024
             data, offsets = text_bytes(b.column(2))
             p, q = Prefix(_LETTER[data]), Prefix(_LETTER2[data], SECOND)
@@ -109,18 +114,16 @@ def _pieces(width: int):
             mark = mix64(j.view(np.uint64) + np.uint64(width << 32))
             k1, k2 = ((x.of(inner, WINDOW - width + 1) ^ mark).view(np.int64) for x in (p, q))
             raw, begin, size = data.tobytes(), at + skip, count + WINDOW - 1
-            doc, row = (b.column(k).to_numpy(zero_copy_only=False)[text[e]] for k in (0, 1))
-            more = (c1[e], c2[e], doc, row, start[e] + skip, places[e], count + 1024 * (gap[e] - skip), off[e] + skip)
-            # of a group that is large within the chunk one string goes to its task and says so, the others to narrower pieces
-            by = np.argsort(k1, kind="stable")
-            new = np.ones(len(by), bool)
-            new[1:] = k1[by][1:] != k1[by][:-1]
+            more = (c1[e], c2[e], doc[e], row[e], start[e] + skip, places[e], count + 1024 * (gap[e] - skip), off[e] + skip)
+            # of a group that is large within the chunk one string goes to its task and says so, the others to narrower pieces;
+            # of a single window the others are known to match
+            by = np.lexsort((k2, k1))
+            new = changes([k1[by], k2[by]])
             head = np.flatnonzero(new)
             size_of = np.diff(np.append(head, len(by)))
             crowded, over = np.zeros(len(by), bool), np.zeros(len(by), bool)
-            if width > 1:
-                crowded[by] = np.repeat(size_of >= CROWD, size_of)
-                over[by] = crowded[by] & ~new
+            crowded[by] = np.repeat(size_of >= (CROWD if width > 1 else 2), size_of)
+            over[by] = crowded[by] & ~new
             stay = np.flatnonzero(~over)
             body = pa.array([raw[x : x + y] for x, y in zip(begin[stay].tolist(), size[stay].tolist())], pa.binary())
             yield _batch(_PIECE, k1[stay], k2[stay], crowded[stay], *(x[stay] for x in more), body=body)
@@ -163,29 +166,33 @@ def _indexed(rows: list[tuple], body: list[bytes]):
 def _match(width: int):
     def run(batches):
         """Sorted pieces -> matches, and the pieces of groups too large for an index (``over``)."""
-        rows, body, size, key, group, group_size, over = [], [], 0, None, 0, 0, False
+        rows, body, size, key, group, group_size, over, seen = [], [], 0, None, 0, 0, False, set()
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             crowded, bodies, again = b.column(2).to_pylist(), b.column(11).to_pylist(), []
             for k, row in enumerate(zip(*(b.column(k).to_pylist() for k in range(3, 11)))):
                 if keys[k] != key:
+                    if len(rows) - group == 1 and rows[-1][5] == 1:  # a string without company
+                        rows.pop()
+                        size -= len(body.pop())
                     if size >= INDEX_BYTES:
                         if found := _indexed(rows, body):
                             yield _batch(_FOUND, False, *found)
                         rows, body, size = [], [], 0
-                    key, over, group, group_size = keys[k], crowded[k], len(rows), 0
-                if not over and group_size >= INDEX_BYTES:
+                    key, over, group, group_size, seen = keys[k], crowded[k], len(rows), 0, set()
+                if not over and group_size >= GROUP_BYTES:
                     over = True
                     again += rows[group:]
                     size -= group_size
                     del rows[group:], body[group:]
                 if over:
                     again.append(row)
-                    continue
-                rows.append(row)
-                body.append(bodies[k])
-                group_size += len(bodies[k])
-                size += len(bodies[k])
+                elif row[2:5] not in seen:  # the same place again comes from a repeated row
+                    seen.add(row[2:5])
+                    rows.append(row)
+                    body.append(bodies[k])
+                    group_size += len(bodies[k])
+                    size += len(bodies[k])
             if again:  # of single windows a group is one string: an entry of many places
                 yield _batch(_FOUND, width > 1, *(np.array(c, np.int64) for c in zip(*again)), 1)
         if rows and (found := _indexed(rows, body)):
@@ -199,7 +206,7 @@ def matches(docs: DataFrame, marks: DataFrame) -> DataFrame:
     entries, parts = marks.filter("entry").withColumn("off", F.lit(0)), []
     for width in PIECES:
         asked = entries.groupBy("doc", "row").agg(F.collect_set(F.struct("c1", "c2", "start", "places", "shape", "off")).alias("asked"))
-        pieces = docs.join(asked, ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "row", "text", "asked").mapInArrow(_pieces(width), _PIECE)
+        pieces = docs.join(asked, ["doc", "row"]).select("doc", "row", "text", "asked").mapInArrow(_pieces(width), _PIECE)
         pieces = pieces.repartition("key").sortWithinPartitions("key", "key2", F.desc("crowded"))
         found = written(pieces.mapInArrow(_match(width), _FOUND), f"matches-{width}")
         parts.append(found.filter("not over"))

@@ -344,6 +344,7 @@ def test_short_lines_in_many_surroundings(spark, monkeypatch):
     """A line shorter than a window, and one a little shorter, in very many documents; passages that some of them share."""
     names = []
     monkeypatch.setattr(longmatches, "INDEX_BYTES", 3000)
+    monkeypatch.setattr(longmatches, "GROUP_BYTES", 2000)
     monkeypatch.setattr(longmatches, "written", lambda df, name, w=longmatches.written: names.append(name) or w(df, name))
     rng = np.random.default_rng(9)
     word = lambda n: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, n))
@@ -352,6 +353,7 @@ def test_short_lines_in_many_surroundings(spark, monkeypatch):
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
     check_substrings(docs)
     check_long(docs)
+    check_long(docs.unionByName(docs.filter("doc_id < 40")).unionByName(docs.filter("doc_id < 40")).repartition(5))
     assert {"matches-43", "matches-8", "matches-1"} <= set(names)
 
 
