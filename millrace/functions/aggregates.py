@@ -90,16 +90,20 @@ def wrapping_sum(c: Column, type: Type) -> Column:
     """The sum modulo 2**64.
 
     A long is summed as three parts of 22, 22 and 20 bits, which stay longs for
-    2**41 rows; decimals, which are slow, come in once per group.
+    2**41 rows; decimals, which are slow, come in once per group.  An unsigned
+    number is summed as the long of the same bits.
     """
     wide = lambda x: x.cast("decimal(38,0)")
     power = lambda n: F.lit(Decimal(1 << n))
     if type == UINT64:
-        return F.pmod(F.sum(c.cast("decimal(20,0)")), power(64)).cast(type.spark)
+        c = c.cast("decimal(20,0)")
+        c = F.when(c >= power(63), c - power(64)).otherwise(c)
     c = c.cast("bigint")
     mask = F.lit((1 << 22) - 1).cast("bigint")
     low, mid, high = F.sum(c.bitwiseAND(mask)), F.sum(F.shiftright(c, 22).bitwiseAND(mask)), F.sum(F.shiftright(c, 44))
     total = wide(low) + wide(mid) * power(22) + wide(high) * power(44)
+    if type == UINT64:
+        return F.pmod(wide(total), power(64)).cast(type.spark)
     return (F.pmod(wide(total) + power(63), power(64)) - power(63)).cast("bigint")
 
 

@@ -10,14 +10,16 @@ from pyspark.sql.types import StringType
 
 from ..errors import RAISED, ErrorKind
 from ..types import BINARY, BOOLEAN, FLOAT32, NULL, UINT64, UTF8, Type
-from .expr import Expr, unsupported, whole
+from .expr import Expr, require_ansi, unsupported, whole
 
 # Words for true and false, and the text of numbers.
 TRUE = ("t", "tr", "tru", "true", "y", "ye", "yes", "on", "1")
 FALSE = ("f", "fa", "fal", "fals", "false", "n", "no", "of", "off", "0")
-INTEGER, NATURAL = r"^[+-]?[0-9]+$", r"^[+]?[0-9]+$"
-FLOAT = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-SPECIAL = r"^(?i)([+-]?)(inf|infinity|nan)$"
+INTEGER, NATURAL = r"^[+-]?[0-9]+\z", r"^[+]?[0-9]+\z"
+FLOAT = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z"
+SPECIAL = r"^(?i)([+-]?)(inf|infinity|nan)\z"
+#: White space that is trimmed around booleans, and around nothing else.
+AROUND = r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+\z"
 
 
 @F.pandas_udf(StringType())
@@ -83,7 +85,7 @@ def _to_float(a: Expr, to: Type, strict: bool) -> Column:
 def _to_boolean(a: Expr, strict: bool) -> Column:
     c = a.column
     if a.type.text or a.type == BINARY:
-        s = F.lower(F.trim(c.cast("string")))
+        s = F.lower(F.regexp_replace(c.cast("string"), AROUND, ""))
         return _guarded(s.isin(*TRUE, *FALSE), s.isin(*TRUE), BOOLEAN, strict, c.cast("string"))
     if a.type.floating:
         return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise(F.isnan(c) | (c != 0))
@@ -103,6 +105,7 @@ def _to_text(a: Expr, strict: bool) -> Column:
 
 def cast(a: Expr, to: Type, strict: bool = True) -> Expr:
     """``a`` as ``to``. Dates and times cast to their own type only."""
+    require_ansi()
     kind = a.type
     if kind == to:
         return a

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ErrorKind, PlanError
@@ -30,6 +30,13 @@ def unsupported(message: str) -> PlanError:
     return PlanError(ErrorKind.UNSUPPORTED, message)
 
 
+def require_ansi(spark: SparkSession | None = None) -> None:
+    """Fail as a plan is put together in a session without ANSI mode, on which checked arithmetic and strict casts depend."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is not None and str(spark.conf.get("spark.sql.ansi.enabled")).lower() != "true":
+        raise unsupported("spark.sql.ansi.enabled is off")
+
+
 def reference(df: DataFrame, name: str, type: Type | None = None) -> Expr:
     """A column of ``df``. ``type`` is for columns that carry an unsigned integer or nanoseconds."""
     if name not in df.columns:

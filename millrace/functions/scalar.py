@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import RAISED, ErrorKind
 from ..types import BOOLEAN, NULL, UINT64, Type
-from .expr import Expr, boolean, invalid, same_type, unsupported, whole
+from .expr import Expr, boolean, invalid, require_ansi, same_type, unsupported, whole
 
 
 def _raise(kind: ErrorKind, type: Type) -> Column:
@@ -31,6 +31,7 @@ def in_range(c: Column, type: Type) -> Column:
 
 
 def _numeric(what: str, *args: Expr) -> Type:
+    require_ansi()
     kind = same_type(what, *args)
     if not kind.numeric:
         raise invalid(f"{what} is not defined for {kind}")

@@ -1,4 +1,4 @@
-"""Scan, filter, project, aggregate and exchanges, as transforms of DataFrames.
+"""Scan, filter, project and aggregate, as transforms of DataFrames.
 
 Catalyst plans them: predicates and columns reach the scan, aggregation
 combines before its shuffle.  Each transform also runs on a stream.
@@ -70,37 +70,3 @@ def custom(children: Sequence[DataFrame], arity: int, run: Callable[..., DataFra
     if len(children) != arity:
         raise invalid(f"the operator takes {arity} inputs, not {len(children)}")
     return run(*children)
-
-
-class Exchanges:
-    """Numbered hand-offs between plans: a sink sends all its rows to every exchange it names, a source reads one.
-
-    Spark shuffles where a plan needs it; this is for the hand-off by number.
-    Rows that go to several exchanges are kept, not computed again.
-    """
-
-    def __init__(self):
-        self._sent: dict[int, list[DataFrame]] = {}
-
-    def sink(self, df: DataFrame, *exchanges: int) -> None:
-        if not exchanges:
-            raise invalid("a sink needs an exchange")
-        if len(exchanges) > 1 and not df.isStreaming:
-            df = df.persist()
-        for e in exchanges:
-            self._sent.setdefault(e, []).append(df)
-
-    def source(self, exchange: int, outputs: Sequence[str] | None = None) -> DataFrame:
-        if exchange not in self._sent:
-            raise invalid(f"nothing was sent to exchange {exchange}")
-        first, *more = self._sent[exchange]
-        for df in more:
-            first = first.union(df)
-        return first if outputs is None else first.select(*outputs)
-
-    def close(self) -> None:
-        for dfs in self._sent.values():
-            for df in dfs:
-                if df.storageLevel.useMemory or df.storageLevel.useDisk:
-                    df.unpersist()
-        self._sent.clear()

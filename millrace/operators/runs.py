@@ -47,9 +47,3 @@ def first_rows(df: DataFrame, n: int) -> list[Row]:
     """At most ``n`` rows; Spark stops reading once it has them."""
     with classified():
         return df.take(n)
-
-
-def require_ansi(spark: SparkSession) -> None:
-    """Checked arithmetic and strict casts depend on ANSI mode."""
-    if spark.conf.get("spark.sql.ansi.enabled") != "true":
-        raise RunError(ErrorKind.UNSUPPORTED, ValueError("spark.sql.ansi.enabled is off"))

@@ -6,16 +6,22 @@ on both sides.  Floats are rounded where sums may differ in their last digits.
 
 from __future__ import annotations
 
+import glob
+import json
+import os
 from collections.abc import Callable
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ErrorKind
 from ..functions import (
-    Expr, add, all_of, any_of, avg, case, cast, coalesce, constant, count, covar_pop, divide, equal, greater, greater_or_equal, is_distinct_from,
-    is_not_distinct_from, is_not_null, is_null, less, less_or_equal, max_, min_, multiply, negate, not_, not_equal, null, reference, remainder, subtract, sum_, try_cast,
+    Expr, add, all_of, any_of, assert_not_null, avg, case, cast, coalesce, constant, count, covar_pop, divide, equal, greater, greater_or_equal, is_distinct_from,
+    is_not_distinct_from, is_not_null, is_null, less, less_or_equal, max_, min_, multiply, negate, not_, not_equal, null, raise_if, reference, remainder, strict, subtract, sum_, try_cast,
 )
-from ..operators.relational import Exchanges, aggregate, distinct, filter_rows, project, scan
+from ..operators.relational import aggregate, distinct, filter_rows, project, scan
+from ..sources.tasks import TaskSource
 from ..types import BINARY, BOOLEAN, FLOAT32, FLOAT64, INT8, INT16, INT32, INT64, UINT8, UINT32, UINT64, UTF8
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,10 +271,30 @@ def cast_int_narrow_try(spark, sf):
     return project(df, {"o_orderkey": reference(df, "o_orderkey"), "i8": x(1, INT8, INT32), "i16": x(7, INT16, INT32), "i32": x(100000, INT32, INT32), "u8": x(1, UINT8, INT32), "u32": x(1000000, UINT32, INT64)})
 
 
-@query("SELECT doc_id, CASE WHEN regexp_full_match(substr(text, 1, 1), '[+-]?[0-9]+') THEN try_cast(substr(text, 1, 1) AS bigint) END AS v, CASE WHEN regexp_full_match(source, 'src[0-9]+') THEN cast(substr(source, 4) AS bigint) END AS s FROM documents")
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(string_split(text || ' 12' || chr(10) || ' +7 -0 99999999999999999999', ' ')) AS t FROM documents)
+    SELECT doc_id, count(*) AS n, count(v) AS numbers, cast(sum(v) AS bigint) AS total, max(s) AS s, max(a) AS a FROM (
+      SELECT doc_id, CASE WHEN regexp_full_match(t, '[+-]?[0-9]+') THEN try_cast(t AS bigint) END AS v FROM w)
+    JOIN (SELECT doc_id, CASE WHEN regexp_full_match(source, 'src[0-9]+') THEN cast(substr(source, 4) AS bigint) END AS s, CASE WHEN regexp_full_match(text, '[+-]?[0-9]+') THEN try_cast(text AS bigint) END AS a FROM documents) USING (doc_id) GROUP BY doc_id"""
+)
 def cast_text_int_try(spark, sf):
-    df = _table(spark, sf, "documents", "doc_id", "text", "source").select("doc_id", F.substring("text", 1, 1).alias("t"), F.expr("substr(source, 4)").alias("s"))
-    return project(df, {"doc_id": reference(df, "doc_id"), "v": try_cast(reference(df, "t"), INT64), "s": try_cast(reference(df, "s"), INT64)})
+    """Whole texts, and every piece of them between spaces, line breaks included."""
+    df = _table(spark, sf, "documents", "doc_id", "text", "source")
+    t = F.split(F.concat("text", F.lit(" 12\n +7 -0 99999999999999999999")), " ")
+    df = df.select("doc_id", "text", F.expr("substr(source, 4)").alias("s"), F.explode(t).alias("t"))
+    df = project(df, {"doc_id": reference(df, "doc_id")} | {to: try_cast(reference(df, c), INT64) for to, c in (("v", "t"), ("s", "s"), ("a", "text"))})
+    made = {"n": count(), "numbers": count(reference(df, "v")), "total": sum_(reference(df, "v")), "s": max_(reference(df, "s")), "a": max_(reference(df, "a"))}
+    return aggregate(df, {"doc_id": reference(df, "doc_id")}, made)
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 4.5 END AS f, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'NaN'::double END AS special, CASE o_orderkey % 4 WHEN 2 THEN true WHEN 3 THEN false ELSE true END AS b, CASE o_orderkey % 4 WHEN 1 THEN 7 END AS i FROM orders")
+def cast_text_line_breaks(spark, sf):
+    """Numbers take no white space around them, a last line break neither; booleans take any."""
+    df = _table(spark, sf, "orders", "o_orderkey")
+    pick = lambda *texts: F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    df = df.select("o_orderkey", pick("4.5", "4.5\n", " 4.5", "4.5\u00a0").alias("f"), pick("nan\n", "nan", "inf\n", "").alias("special"), pick("\ttrue\n", "\u00a0Yes\u2003", "\u30001\r\n", " OFF\x0b").alias("b"), pick("7\n", "7", "\n7", "7 ").alias("i"))
+    made = {"f": FLOAT64, "special": FLOAT64, "b": BOOLEAN, "i": INT64}
+    return project(df, {"o_orderkey": reference(df, "o_orderkey")} | {c: try_cast(reference(df, c), to) for c, to in made.items()})
 
 
 @query("SELECT o_orderkey, cast(cast(o_orderkey AS varchar) || '.5e1' AS double) AS a, cast(NULL AS double) AS b, cast('.' || cast(o_orderkey AS varchar) AS double) AS c FROM orders")
@@ -474,10 +500,8 @@ def two_level_agg(spark, sf):
 def exchange_fanout(spark, sf):
     df = _table(spark, sf, "orders", "o_orderkey", "o_orderstatus")
     of = lambda s: filter_rows(df, equal(reference(df, "o_orderstatus"), constant(s, UTF8)), ["o_orderkey"])
-    hand = Exchanges()
-    hand.sink(of("F"), 1, 2)
-    hand.sink(of("O"), 2)
-    sides = [aggregate(hand.source(e), {"side": constant(name, UTF8)}, {"n": count()}) for e, name in ((1, "a"), (2, "b"))]
+    first, second = of("F"), of("O")
+    sides = [aggregate(rows, {"side": constant(name, UTF8)}, {"n": count()}) for rows, name in ((first, "a"), (first.union(second), "b"))]
     return sides[0].union(sides[1])
 
 
@@ -505,3 +529,58 @@ def bench_global_aggregate(spark, sf):
 def bench_grouped_aggregate(spark, sf):
     df = _table(spark, sf, "lineitem", "l_suppkey", "l_orderkey")
     return aggregate(df, {"l_suppkey": reference(df, "l_suppkey")}, {"total": sum_(reference(df, "l_orderkey")), "n": count(reference(df, "l_orderkey"))})
+
+
+# order of floats, arguments that are always computed, errors of rows, and the source of tasks
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN true WHEN 2 THEN false ELSE l_discount < 0 END AS lt, CASE l_linenumber WHEN 1 THEN false WHEN 2 THEN true ELSE l_discount = 0 END AS eq, CASE l_linenumber WHEN 1 THEN false ELSE true END AS ge, l_linenumber IN (1, 2) OR l_discount = 0 AS plain_eq, CASE l_linenumber WHEN 1 THEN true WHEN 2 THEN false ELSE l_discount <> 0 END AS differs FROM lineitem")
+def compare_total_order(spark, sf):
+    """-0.0 comes before 0.0 in the total order and equals it otherwise."""
+    df = _table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_discount")
+    n, zero = _long(df, "l_linenumber"), _f64(0.0)
+    x = case([(equal(n, _i64(1)), _f64(-0.0)), (equal(n, _i64(2)), zero)], reference(df, "l_discount"))
+    made = {"lt": less(x, zero, total_order=True), "eq": equal(x, zero, total_order=True), "ge": greater_or_equal(x, zero, total_order=True), "plain_eq": equal(x, zero), "differs": is_distinct_from(x, zero, total_order=True)}
+    return project(df, {c: reference(df, c) for c in ("l_orderkey", "l_linenumber")} | made)
+
+
+@query("SELECT CASE WHEN l_linenumber = 1 THEN '-0' WHEN l_linenumber = 2 THEN '0' ELSE 'other' END AS sign, count(*) AS n FROM lineitem WHERE l_linenumber < 4 GROUP BY 1")
+def agg_total_order_keys(spark, sf):
+    df = _table(spark, sf, "lineitem", "l_linenumber")
+    df = filter_rows(df, less(_long(df, "l_linenumber"), _i64(4)))
+    n = _long(df, "l_linenumber")
+    x = case([(equal(n, _i64(1)), _f64(-0.0)), (equal(n, _i64(2)), _f64(0.0))], _f64(1.0))
+    out = aggregate(df, {"x": x}, {"n": count()}, total_order=True)
+    x = reference(out, "x")
+    t = lambda s: constant(s, UTF8)
+    sign = case([(equal(x, _f64(-0.0), total_order=True), t("-0")), (equal(x, _f64(0.0), total_order=True), t("0"))], t("other"))
+    return project(out, {"sign": sign, "n": reference(out, "n")})
+
+
+@query("SELECT l_orderkey, l_linenumber, l_linenumber > 3 AND 100 // l_linenumber > 20 AS both, l_linenumber > 3 OR 100 // l_linenumber > 20 AS either FROM lineitem")
+def logic_strict(spark, sf):
+    df = _table(spark, sf, "lineitem", "l_orderkey", "l_linenumber")
+    n = _long(df, "l_linenumber")
+    args = greater(n, _i64(3)), greater(divide(_i64(100), n), _i64(20))
+    return project(df, {c: reference(df, c) for c in ("l_orderkey", "l_linenumber")} | {"both": strict(all_of(*args), *args), "either": strict(any_of(*args), *args)})
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS checked, l_tax AS there FROM lineitem")
+def raise_if_never(spark, sf):
+    """Rows that break a rule would fail the query; none does."""
+    df = _table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    q = reference(df, "l_quantity")
+    checked = raise_if(less(q, _f64(0.0)), ErrorKind.INVALID_INPUT, q)
+    return project(df, {c: reference(df, c) for c in ("l_orderkey", "l_linenumber")} | {"checked": checked, "there": assert_not_null(reference(df, "l_tax"))})
+
+
+@query("SELECT o_orderstatus, count(*) AS n, cast(sum(o_custkey) AS bigint) AS total FROM orders GROUP BY 1")
+def task_source(spark, sf):
+    """Row groups as tasks of a described source, one partition each."""
+    path = f"{sf}/orders.parquet"
+    files = sorted(glob.glob(f"{path}/*.parquet")) if os.path.isdir(path) else [path]
+    tasks = [{"path": f, "row_groups": [k]} for f in files for k in range(pq.ParquetFile(f).num_row_groups)]
+    spark.dataSource.register(TaskSource)
+    source = spark.read.format("tasks").option("reader", "millrace.sources.tasks:parquet_task").option("tasks", json.dumps(tasks))
+    df = source.schema("o_custkey bigint, o_orderstatus string").load()
+    return aggregate(df, {"o_orderstatus": reference(df, "o_orderstatus")}, {"n": count(), "total": sum_(reference(df, "o_custkey"))})

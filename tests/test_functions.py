@@ -10,7 +10,7 @@ import pytest
 from millrace import functions as M
 from millrace import types as T
 from millrace.errors import ErrorKind, PlanError
-from millrace.operators.relational import Exchanges, aggregate, custom, distinct, filter_rows, project
+from millrace.operators.relational import aggregate, custom, distinct, filter_rows, project
 from millrace.operators.runs import RunError, classified
 
 NAN, INF = float("nan"), float("inf")
@@ -240,15 +240,35 @@ def test_filter_keeps_groups_and_hides_errors(spark):
     assert sorted(map(tuple, out.collect()), key=str) == [(1, 20, 1), (2, None, 0), (None, 100, 1)]
 
 
-def test_exchanges(spark):
+def test_inputs_of_custom_operators(spark):
     df = spark.createDataFrame([(1,), (2,)], "v bigint")
-    hand = Exchanges()
-    hand.sink(df, 1, 2)
-    hand.sink(df.filter("v > 5"), 1)
-    assert sorted(r.v for r in hand.source(1).collect()) == [1, 2]
-    assert hand.source(2, ["v"]).count() == 2
-    fails(ErrorKind.INVALID_PLAN, lambda: hand.source(3))
-    hand.close()
-    fails(ErrorKind.INVALID_PLAN, lambda: hand.source(1))
     assert project(df, {}).count() == 2
     assert custom([df, df], 2, lambda a, b: a.union(b)).count() == 4
+
+
+def test_plans_need_ansi_mode(spark):
+    df = spark.createDataFrame([(1,)], "v bigint")
+    v = M.reference(df, "v")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        for build in (lambda: M.add(v, v), lambda: M.divide(v, v), lambda: M.cast(v, T.INT8), lambda: M.sum_(v).column()):
+            fails(ErrorKind.UNSUPPORTED, build)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+    M.add(v, v)
+
+
+def test_text_with_white_space_around(spark):
+    df = spark.createDataFrame([("42\n", "1.5\n", "nan\n", "\ttrue\n"), ("42", "1.5", "nan", "\u2003OFF\u00a0")], "i string, f string, s string, b string")
+    made = {"i": T.INT64, "f": T.FLOAT64, "s": T.FLOAT64, "b": T.BOOLEAN}
+    first, second = project(df, {c: M.try_cast(M.reference(df, c), t) for c, t in made.items()}).collect()
+    assert tuple(first) == (None, None, None, True)
+    assert second.i == 42 and second.f == 1.5 and second.s != second.s and second.b is False
+    for c in "ifs":
+        fails(ErrorKind.INVALID_INPUT, lambda: project(df, {c: M.cast(M.reference(df, c), made[c])}).collect())  # noqa: B023
+
+
+def test_unsigned_sums_of_many_parts(spark):
+    top = (1 << 64) - 1
+    df = spark.createDataFrame([(Decimal(x),) for x in (top, top, 1 << 63, 5)], "v decimal(20,0)")
+    assert aggregate(df, {}, {"t": M.sum_(M.reference(df, "v", T.UINT64), T.UINT64)}).first().t == (2 * top + (1 << 63) + 5) % (1 << 64)

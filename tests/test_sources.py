@@ -15,7 +15,7 @@ from millrace import functions as M
 from millrace import types as T
 from millrace.errors import ErrorKind
 from millrace.operators.relational import aggregate, filter_rows, scan
-from millrace.operators.runs import RunError, cancel, classified, first_rows, require_ansi, tagged
+from millrace.operators.runs import RunError, cancel, classified, first_rows, tagged
 from millrace.sources.memory import from_arrow, from_rows
 from millrace.sources.sinks import consume, to_arrow, write_parquet
 from millrace.sources.tasks import TaskSource
@@ -75,16 +75,6 @@ def test_cancellation(spark):
     assert e.value.kind is ErrorKind.CANCELLED
 
 
-def test_ansi_is_required(spark):
-    require_ansi(spark)
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        with pytest.raises(RunError):
-            require_ansi(spark)
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", "true")
-
-
 def test_stream(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([(k, k * 10), (k, 1)], "g int, v bigint").write.mode("append").parquet(str(tmp_path / "in"))
