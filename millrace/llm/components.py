@@ -28,7 +28,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (the least node reachable) for every node on an edge, from columns ``u`` and ``v``.
+    """``node, component`` (the least node reachable) for every node on an edge, from columns ``u`` and ``v``; a written table.
 
     Self-loops, repeated edges and nulls count for nothing.  Only counts and a
     checksum reach the driver; each round is a written table, so lost
@@ -44,4 +44,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         last = seal(now)
         if last == was:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
+    drop_written(now)
+    return out

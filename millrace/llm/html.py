@@ -6,9 +6,11 @@ vector says how often it occurs on each page of the host; tokens with equal
 vectors form an equivalence class.  The vectors are never built: a token keeps
 the exclusive or of a hash of (page, count), which Spark aggregates, so that
 equal vectors have equal hashes.  Valid classes - in order, properly nested -
-nest into the host's template, whose slots hold what varies.  Slots that hold
-most of the running text, one in the other, can be the main one: a page gives
-the outermost article-like one, or a deeper one that leaves only template text.
+nest into the host's template, whose slots hold what varies.  Text in a class
+with the template's own tags is template text: it counts for no slot and is
+taken out of all.  Slots that hold most of the varying text, one in the other,
+can be the main one: a page gives the outermost article-like one, or a deeper
+one that leaves only template text.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop_written, written
 from .words import chunks
 
 TOKEN = re.compile(
@@ -46,12 +48,16 @@ HEADER_NAMES = re.compile(r"headers?")
 #: Elements that a name can set apart: no page frames, articles, headings or inline elements.
 NAMED = BLOCKS - frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 
+HEADING = re.compile(r"/h[1-6](?=[/\[|])")
 ARTICLE = re.compile(r"(article|main)(\[|$)")
-#: Begins an entry of a host's slots that is the hash of a text of its template; paths begin with '/'.
+#: Begins an entry of a host's slots that is the hash of a text of its template, which pages lose; paths begin with '/'.
 SAME = "="
+#: The same of a text that is on most pages only: it stays, but a deeper slot need not hold it.
+OFTEN = "~"
 
-#: Pages from which on a host has a template; share of a host's pages that a template token is on; share of the text that the main slot holds at least.
-LEAST_PAGES, LEAST_SUPPORT, LEAST_MASS = 3, 0.5, 0.5
+#: Pages from which on a host has a template; share of a host's pages that a template token is on; share of the text that the main slot holds at least;
+#: pages from which on a text that all of them share is template text.
+LEAST_PAGES, LEAST_SUPPORT, LEAST_MASS, SAME_PAGES = 3, 0.5, 0.5, 5
 #: Bytes of templates that may be broadcast; beyond, pages are joined by host.
 BROADCAST_BYTES = 8 << 20
 
@@ -173,11 +179,12 @@ def tokens_of(page: str) -> dict[tuple[str, str], list[int]]:
             mass = found.setdefault(("mass", e.path), [0, place, 0])
             mass[0] += 1
             mass[2] += 0 if e.link else len(text)
-            key = ("text", _text_key(e.path, text))
+            key, chars = ("text", _text_key(e.path, text)), 0 if e.link else len(text)
         else:
-            key = (kind, e.path)
+            key, chars = (kind, e.path), 0
         row = found.setdefault(key, [0, place, 0])
         row[0] += 1
+        row[2] += chars
     return found
 
 
@@ -209,22 +216,24 @@ def host_tokens(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> D
 
 
 def deduce(rows: pd.DataFrame) -> list[str]:
-    """Paths of slots that can be a host's main one, outermost first, from its tokens (those on enough pages), and ``SAME`` with the hash of each template text that is in the first but not in all of them.
+    """Of a host's tokens (those on enough pages): paths of slots that can be the main one, outermost first, and hashes of template texts (``SAME``, ``OFTEN``).
 
     Classes are ordered by support.  A class is valid if its start and end tags
     pair up in order; a valid class nests in the template if its elements lie
-    in a slot of one that is there already.  Slots whose element occurs once a
-    page and that holds ``LEAST_MASS`` of the running text of the whole can be
-    the main one, from the outermost article or main on, if there is any.
+    in a slot of one that is there already.  Texts of such a class - those that
+    come with the template's tags on all of at least ``SAME_PAGES`` pages - are
+    template text, but for headings, which articles have alike.  Slots whose element occurs once a page and that holds
+    ``LEAST_MASS`` of the varying text of the whole can be the main one, from
+    the outermost article or main on, if there is any.
     """
     tags = rows[rows.kind.isin(["start", "end", "text"])].copy()
     if tags.empty:
         return []
     tags["at"] = tags["place"] / tags["pages"]
-    mass = rows[rows.kind == "mass"]
     template: list[tuple[str, float, float]] = []  # slots: path, where they open and close
+    same: list[str] = []
     holder = lambda p: re.split(r"\[", p.rsplit("/", 1)[1])[0] in HOLDERS
-    for (_, _), members in sorted(tags.groupby(["pages", "vector"]), key=lambda g: (-g[0][0], g[1]["at"].min())):
+    for (pages, _), members in sorted(tags.groupby(["pages", "vector"]), key=lambda g: (-g[0][0], g[1]["at"].min())):
         if len(members) < 2:
             continue
         starts = {r.path: r for r in members.itertuples() if r.kind == "start"}
@@ -233,18 +242,30 @@ def deduce(rows: pd.DataFrame) -> list[str]:
         valid = all(s <= e for _, s, e, _ in pairs) and all(not (s1 < s2 <= e1 < e2) for _, s1, e1, _ in pairs for _, s2, e2, _ in pairs)
         if not valid:
             continue
+        nested = False
         for path, s, e, once in sorted(pairs, key=lambda p: p[1]):
             top = [t for t in template if path.startswith(t[0] + "/")]
             if once and (not template or top and all(t[1] <= s and e <= t[2] for t in top) or path.count("/") == 1):
                 template.append((path, s, e))
-    held = {p: int(mass.loc[(mass.path == p) | mass.path.str.startswith(p + "/"), "chars"].sum()) for p, _, _ in template}
-    total = int(mass["chars"].sum())
+                nested = True
+        if nested and pages >= SAME_PAGES:
+            same += [k for k in members.loc[members.kind == "text", "path"] if not HEADING.search(k)]
+    mass = rows[rows.kind == "mass"][["path", "chars"]]
+    texts = tags[tags.kind == "text"]
+    constant = pd.DataFrame({"path": texts["path"].str.rsplit("|", n=1).str[0], "chars": -texts["chars"]})
+    varying = pd.concat([mass, constant]).groupby("path")["chars"].sum().clip(lower=0)
+    held = {p: int(varying[(varying.index == p) | varying.index.str.startswith(p + "/")].sum()) for p, _, _ in template}
+    total = int(varying.sum())
     good = [p for p, m in held.items() if holder(p) and m >= LEAST_MASS * total and m > 0]
     good.sort(key=lambda p: (p.count("/"), -held[p], p))
     first = next((p for p in good if ARTICLE.match(p.rsplit("/", 1)[1])), good[0] if good else None)
     slots = [p for p in good if p == first or p.startswith(f"{first}/")]
-    same = [k for k in tags.loc[tags.kind == "text", "path"] if len(slots) > 1 and _within(p := k.rsplit("|", 1)[0], first) and not all(_within(p, s) for s in slots)]
-    return slots + sorted({SAME + xxhash.xxh64_hexdigest(k.encode("utf-8", "surrogatepass")) for k in same})
+    if not slots:
+        return []
+    out = set(same)
+    often = [k for k in texts["path"] if k not in out and len(slots) > 1 and _within(p := k.rsplit("|", 1)[0], first) and not all(_within(p, s) for s in slots)]
+    marked = lambda mark, keys: sorted({mark + xxhash.xxh64_hexdigest(k.encode("utf-8", "surrogatepass")) for k in keys})
+    return slots + marked(SAME, (k for k in same if _within(k.rsplit("|", 1)[0], first))) + marked(OFTEN, often)
 
 
 def _within(path: str, slot: str) -> bool:
@@ -252,22 +273,29 @@ def _within(path: str, slot: str) -> bool:
 
 
 def host_templates(tokens: DataFrame) -> DataFrame:
-    """``host, slots``: a row for each host with a template. Only tokens on ``LEAST_SUPPORT`` of a host's pages come together, however many pages it has."""
-    sizes = tokens.filter("kind = 'page'").select("host", F.col("pages").alias("host_pages"))
+    """``host, slots``: a row for each host with a template, as a written table. Only tokens on ``LEAST_SUPPORT`` of a host's pages come together, however many pages it has."""
     # text of one page only is no template, and there is much of it
-    often = tokens.filter("kind <> 'page' and (kind <> 'text' or pages > 1)").join(sizes, "host").filter((F.col("host_pages") >= LEAST_PAGES) & ((F.col("pages") >= LEAST_SUPPORT * F.col("host_pages")) | (F.col("kind") == "mass") & (F.col("pages") >= 0.01 * F.col("host_pages"))))
+    tokens = written(tokens.filter("kind <> 'text' or pages > 1"), "html-tokens")
+    sizes = tokens.filter("kind = 'page'").select("host", F.col("pages").alias("host_pages"))
+    often = tokens.filter("kind <> 'page'").join(sizes, "host").filter((F.col("host_pages") >= LEAST_PAGES) & ((F.col("pages") >= LEAST_SUPPORT * F.col("host_pages")) | (F.col("kind") == "mass") & (F.col("pages") >= 0.01 * F.col("host_pages"))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "slots": [deduce(pdf)]})
 
-    return often.groupBy("host").applyInPandas(run, "host string, slots array<string>")
+    out = written(often.groupBy("host").applyInPandas(run, "host string, slots array<string>"), "html-templates")
+    drop_written(tokens)
+    return out
+
+
+def _token(e: Element, text: str) -> str:
+    return xxhash.xxh64_hexdigest(_text_key(e.path, text).encode("utf-8", "surrogatepass"))
 
 
-def _only_template(got, outer: str, inner: str, same: set[str]) -> bool:
+def _only_template(got, outer: str, inner: str, known: set[str]) -> bool:
     """Whether all text in ``outer`` and not in ``inner`` is in the template."""
     for kind, e, text in got:
         if kind == "text" and not e.apart and _within(e.path, outer) and not _within(e.path, inner) and (text := text.strip()):
-            if SAME + xxhash.xxh64_hexdigest(_text_key(e.path, text).encode("utf-8", "surrogatepass")) not in same:
+            if _token(e, text) not in known:
                 return False
     return True
 
@@ -276,26 +304,32 @@ def main_text(page: str, slots) -> str:
     """The blocks of the page's main slot, or of its article, main or body, joined by blank lines.
 
     The slot is the first that the page has; a deeper one takes its place as
-    long as all other text is that of the host's template.
+    long as all other text is that of the host's template.  Blocks of nothing
+    but template text are left out of it, unless the page has no others: then
+    they are its article.
     """
-    same = {s for s in slots or () if s.startswith(SAME)}
-    slots = [s for s in slots or () if not s.startswith(SAME)]
-    got = parsed(page, slots)
+    paths_of = [s for s in slots or () if s.startswith("/")]
+    same, often = ({s[1:] for s in slots or () if s.startswith(mark)} for mark in (SAME, OFTEN))
+    got = parsed(page, paths_of)
     paths = {e.path for kind, e, _ in got if kind == "start"}
     tags = {e.tag for kind, e, _ in got if kind == "start" and not e.apart}
     root = None
-    for s in slots:
-        if s in paths and (root is None or _within(s, root) and _only_template(got, root, s, same)):
+    for s in paths_of:
+        if s in paths and (root is None or _within(s, root) and _only_template(got, root, s, same | often)):
             root = s
     by_tag = None if root else next((t for t in ("article", "main", "body", "html") if t in tags), "")
     below = root + "/" if root else None
-    blocks, now = [], []
+    blocks: list[tuple[str, bool]] = []  # each with whether it has text of its own
+    now: list[str] = []
+    own = False
 
     def close():
+        nonlocal own
         text = SPACE.sub(" ", html.unescape("".join(now))).strip()
         if text:
-            blocks.append(text)
+            blocks.append((text, own))
         now.clear()
+        own = False
 
     for kind, e, text in got:
         if kind == "text":
@@ -304,6 +338,7 @@ def main_text(page: str, slots) -> str:
             if root:
                 if e.path == root or e.path.startswith(below):
                     now.append(text)
+                    own = own or not same or bool(t := text.strip()) and _token(e, t) not in same
             elif not by_tag or re.search(rf"/{by_tag}(?=[/\[]|$)", e.path):
                 now.append(text)
         elif e.tag in BLOCKS:
@@ -311,7 +346,7 @@ def main_text(page: str, slots) -> str:
         elif e.tag == "br":
             now.append(" ")
     close()
-    return "\n\n".join(blocks)
+    return "\n\n".join([t for t, mine in blocks if mine] or [t for t, _ in blocks])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -319,12 +354,14 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null html counts as empty and a null or odd url as a host of its own name
     ''.  Hosts with fewer than ``LEAST_PAGES`` pages, and pages without any
-    slot of their host, give their article, main or body.  Repeated rows give
-    equal texts; an empty table gives an empty result; other columns are not
+    slot of their host, give their article, main or body.  A host's template
+    is made of tokens on ``LEAST_SUPPORT`` of its pages; text is left out of
+    the main slot if the template has it on all of its pages, ``SAME_PAGES``
+    at least.  Repeated rows give equal texts; an empty table gives an empty result; other columns are not
     read.
     """
     spark = pages.sparkSession
-    templates = written(host_templates(host_tokens(pages, id_col, url_col, html_col)), "html-templates")
+    templates = host_templates(host_tokens(pages, id_col, url_col, html_col))
     size = templates.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.concat_ws(",", "slots")) + F.length("host")), F.lit(0)).alias("b")).first()
     kind = pages.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, url string, text string, n_chars long"

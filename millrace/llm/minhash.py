@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import HOT, drop_written, join_by_key, written
 from .words import chunks, mix64, rolling, starts_within, words_of
 
 SHINGLE = 5
@@ -115,21 +115,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     members = salted.join(texts, F.col("v") == F.col("id")).select("u", "salt", "v", "text")
     rows = centres.unionByName(members).repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("v").isNotNull())
 
+    def similar(centre, mine):
+        if not len(centre):
+            return False
+        at = np.minimum(np.searchsorted(centre, mine), len(centre) - 1)
+        both = int((centre[at] == mine).sum())
+        return 100 * both >= SIMILAR * (len(centre) + len(mine) - both)
+
     def run(batches):
-        key, centre = None, None
+        key, centres = None, []  # a centre has as many sets as its id has texts
         for b in chunks(batches, "text", CHUNK):
             values, first = shingle_sets(b.column(3))
             us, salts, vs, keep = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), []
             for k, (u, salt, v) in enumerate(zip(us, salts, vs)):
                 mine = values[first[k] : first[k + 1]]
                 if v is None:
-                    key, centre = (u, salt), np.sort(mine)
-                    continue
-                if key != (u, salt) or not len(centre) or not len(mine):
-                    continue
-                at = np.minimum(np.searchsorted(centre, mine), len(centre) - 1)
-                both = int((centre[at] == mine).sum())
-                if 100 * both >= SIMILAR * (len(centre) + len(mine) - both):
+                    if key != (u, salt):
+                        key, centres = (u, salt), []
+                    centres.append(np.sort(mine))
+                elif key == (u, salt) and len(mine) and any(similar(c, mine) for c in centres):
                     keep.append(k)
             yield b.take(pa.array(keep, pa.int64())).select(["u", "v"])
 
@@ -143,32 +147,40 @@ def _across(placed: DataFrame, texts: DataFrame) -> DataFrame:
     Two sets of a similarity of 75 % share a shingle among the rarest 25 % of
     each (prefix filtering), whatever their buckets.  What very many documents
     share is the least rare, so a passage common to them makes no pairs.  Of a
-    bucket only documents outside its largest component need partners.
+    bucket only documents outside its largest component need partners.  The
+    pairs are a written table.
     """
     sizes = placed.groupBy("key", "comp").count()
-    largest = sizes.groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("most"))
-    odd = placed.join(largest, "key").groupBy("id", "comp").agg(F.max((F.col("comp") != F.col("most")).cast("int")).alias("odd"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("most"), F.sum("count").alias("c"))
+    largest = written(largest, "largest")
+    odd = join_by_key(placed, largest, ["key"], "c").groupBy("id", "comp").agg(F.max((F.col("comp") != F.col("most")).cast("int")).alias("odd"))
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
         for b in chunks(batches, "text", CHUNK):
-            values, first = shingle_sets(b.column(3))
+            values, first = shingle_sets(b.column(4))
             n = np.diff(first)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))], names=["id", "comp", "odd", "n", "set"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))], names=["id", "t", "comp", "odd", "n", "set"])
 
-    sets = texts.join(odd, "id").select("id", "comp", "odd", "text").mapInArrow(run, f"id {kind}, comp {kind}, odd int, n long, set array<bigint>")
+    sets = texts.join(odd, "id").select("id", "t", "comp", "odd", "text").mapInArrow(run, f"id {kind}, t long, comp {kind}, odd int, n long, set array<bigint>")
     sets = written(sets, "sets")
-    each = sets.select("id", "comp", "odd", "n", F.explode("set").alias("h"))
-    rarity = each.groupBy("h").agg(F.count("*").alias("df"))
-    rarest = each.join(rarity, "h").groupBy("id", "comp", "odd", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("all"))
+    each = sets.select("id", "t", "comp", "odd", "n", F.explode("set").alias("h"))
+    rarity = written(each.groupBy("h").agg(F.count("*").alias("df")), "rarity")
+    rarest = join_by_key(each, rarity, ["h"], "df").groupBy("id", "t", "comp", "odd", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("all"))
     prefix = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1).cast("int"))
-    rows = rarest.select("id", "comp", "odd", "n", F.posexplode(prefix).alias("i", "x")).filter("x.df > 1").select("id", "comp", "odd", "n", (F.col("n") - F.col("i")).alias("rest"), "x.h")
+    rows = rarest.select("id", "comp", "odd", "n", F.posexplode(prefix).alias("i", "x")).filter("x.df > 1")
+    rows = rows.select("id", "comp", "odd", "n", (F.col("n") - F.col("i")).alias("rest"), "x.h", F.ceil(F.col("x.df") / HOT).alias("salts"))
     rows = written(rows, "prefixes")
-    p, q = rows.filter("odd = 1").alias("p"), rows.alias("q")
+    # of a shingle with very many documents each odd one meets all others in as many parts
+    p = rows.filter("odd = 1").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).alias("p")
+    q = rows.withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).alias("q")
     # from the rarest shingle that two sets share on, no more than the shorter rest can be shared
     most = F.least("p.rest", "q.rest")
     fits = (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.odd") == 0) | (F.col("p.id") < F.col("q.id"))) & (100 * most >= SIMILAR * (F.col("p.n") + F.col("q.n") - most))
-    return p.join(q, (F.col("p.h") == F.col("q.h")) & fits).select(F.least("p.id", "q.id").alias("u"), F.greatest("p.id", "q.id").alias("v")).distinct()
+    pairs = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.salt") == F.col("q.salt")) & fits).select(F.least("p.id", "q.id").alias("u"), F.greatest("p.id", "q.id").alias("v")).distinct()
+    pairs = written(pairs, "across")
+    drop_written(sets, rarity, rows, largest)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,46 +188,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are lower-cased (A-Z) and split at ASCII white space.  Null, empty
     and wordless texts have empty sets and link with nothing.  Rows with one
-    id are one document; rows with a null id stay unlinked, with a null
-    component, and are kept.  Equal texts tie and the least id stays.  Other
-    columns are not read.
+    id are one document, linked by each of its texts; rows with a null id stay
+    unlinked, with a null component, and are kept.  Equal texts tie and the
+    least id stays.  Other columns are not read.
     """
-    spark = docs.sparkSession
     sk = written(sketch(docs, id_col, text_col), "sketch")
     named = sk.filter("n > 0 and id is not null")
-    reps = written(named.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")).select("rep", "n", "f1", "f2", "sig"), "reps")
+    reps = named.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    reps = written(reps.select("rep", "n", "f1", "f2", "copies", "sig"), "reps")
 
     bands = F.array(*(F.xxhash64(F.lit(i), *(F.col("sig")[i * ROWS + j] for j in range(ROWS))) for i in range(HASHES // ROWS)))
     keyed = reps.select(F.col("rep").alias("id"), F.explode(bands).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("c")).filter("c > 1").select("key", "centre")
-    members = written(keyed.join(shared, "key"), "buckets")
+    shared = written(keyed.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("c")).filter("c > 1"), "shared")
+    members = written(join_by_key(keyed, shared, ["key"], "c"), "buckets")
     stars = members.filter("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
 
     ids = written(members.select("id").distinct(), "candidates")
     n = ids.count()
-    # of an id with several texts any one of them stands for it
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    texts = written(plain.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"]), "texts") if n else plain.limit(0)
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).filter("text is not null")
+    texts = written(plain.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id", "t"]), "texts") if n else plain.limit(0)
     sigs = reps.select(F.col("rep").alias("id"), "n", "sig").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
 
     def alike(pairs: DataFrame) -> DataFrame:
         a, b = (sigs.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "uv")
         same = F.size(F.filter(F.zip_with("su", "sv", lambda x, y: x == y), lambda x: x))
         near = (100 * F.least("nu", "nv") >= SIMILAR * F.greatest("nu", "nv")) & (same >= int(SLACK * HASHES))
-        return pairs.join(b, "v").join(a, "u").filter(near).select("u", "v")
+        return pairs.join(b, "v").join(a, "u").filter(near).select("u", "v").distinct()
 
-    links = written(_confirmed(written(alike(stars), "pairs"), texts), "links")
-    comps = written(connected_components(links), "components")
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = written(alike(pairs), "pairs")
+        out = written(_confirmed(near, texts), "links")
+        drop_written(near)
+        return out
+
+    links = linked(stars)
+    several = named.groupBy("id").agg(F.min("f1").alias("a"), F.max("f1").alias("b")).filter("a <> b").select("id")
+    own = written(named.join(several, "id", "left_semi").join(reps, ["f1", "f2", "n"]).select(F.col("id").alias("u"), F.col("rep").alias("v")), "several")
+    comps = connected_components(links.unionByName(own))
 
     # buckets that hold more than one component: pairs across components that the stars have not tried
     placed = members.join(comps, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-    placed = written(placed.join(mixed, "key"), "mixed")
-    across = _across(placed, texts).join(stars, ["u", "v"], "left_anti")
-    more = written(_confirmed(written(alike(across), "pairs"), texts), "links")
+    placed = written(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).filter("a <> b").select("key", "c")
+    mixed = written(mixed, "mixed-keys")
+    crowd = written(join_by_key(placed, mixed, ["key"], "c").select("key", "id", "comp"), "mixed")
+    across = _across(crowd, texts)
+    more = linked(across.join(stars, ["u", "v"], "left_anti"))
     if more.head(1):
-        comps = written(connected_components(links.unionByName(more)), "components")
-
-    class_of = reps.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.col("n").alias("cn"), F.coalesce("component", "rep").alias("comp"))
-    rows = sk.select("id", "n", "f1", "f2").join(class_of, (sk.f1 == class_of.f1) & (sk.f2 == class_of.f2) & (sk.n == class_of.cn) & sk.id.isNotNull() & (sk.n > 0), "left").select("id", "n", F.coalesce("comp", "id").alias("comp"))
+        first, comps = comps, connected_components(links.unionByName(own).unionByName(more))
+        drop_written(first)
+
+    class_of = reps.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", "copies", F.coalesce("component", "rep").alias("comp"))
+    class_of = written(class_of, "classes")
+    drop_written(shared, members, ids, links, own, placed, mixed, crowd, across, more, comps, reps, *([texts] if n else []))
+    rows = join_by_key(named.select("id", "n", "f1", "f2"), class_of, ["f1", "f2", "n"], "copies").select("id", "n", "comp")
+    rows = rows.unionByName(sk.filter("not (n > 0 and id is not null)").select("id", "n", F.col("id").alias("comp")))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))

@@ -160,6 +160,30 @@ def test_near_duplicates(spark, edge_docs, edge_rows, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_texts_of_one_id_and_hot_keys(spark, monkeypatch):
+    """Each text of an id links it; crowded keys are dealt apart without losing a link."""
+    from millrace.llm import shared
+
+    monkeypatch.setattr(shared, "HOT", 5)
+    monkeypatch.setattr(minhash, "HOT", 5)
+    base, other = (" ".join(f"{c}{k * k % 997}" for k in range(200)) for c in "wz")
+    data = [(k, near(base, k % 40)) for k in range(0, 60)] + [(100 + k, near(other, k % 30)) for k in range(30)]
+    data += [(200, base), (200, other), (201, base + " x"), (202, other)] + [(300 + k, base) for k in range(12)] + [(400, "five words and no more"), (400, "something else with seven other words")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    sets = defaultdict(list)
+    for i, t in data:
+        sets[i].append(plain.shingles(t))
+    alike = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    links = [(a, b) for a in sets for b in sets if a < b and any(alike(x, y) for x in sets[a] for y in sets[b])]
+    comp = plain.components(sets, links)
+    for bound in (10, 0):  # hot keys broadcast, and too many of them
+        monkeypatch.setattr(shared, "BROADCAST_KEYS", bound * 1000)
+        got = minhash.near_duplicates(docs).collect()
+        assert len(got) == len(data)
+        assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(i, comp[i], comp[i] == i) for i in sets}
+        assert {(r.doc_id, r.n_shingles) for r in got} == {(i, len(s)) for i, ss in sets.items() for s in ss}
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (100, 2))] + [(5, 5), (300, 301), (301, 302), (302, 303)] + [(None, 3)]
@@ -459,8 +483,8 @@ def page(k, body):
 
 
 def test_extraction(spark, sf):
-    bodies = [f"<h1>Head {k}</h1><p><b>One &amp; two &lt;{k}&gt;<br><p>Three\n  four <i>five</i>{' more' * k}</p><aside>Related</aside><ul><li>a<li>b</ul>" for k in range(12)]
-    want = [f"Head {k}\n\nOne & two <{k}>\n\nThree four five{' more' * k}\n\na\n\nb" for k in range(12)]
+    bodies = [f"<h1>Head {k}</h1><p><b>One &amp; two &lt;{k}&gt;<br><p>Three\n  four <i>five</i> {k}{' more' * k}</p><aside>Related</aside><ul><li>a{k}<li>b {k}</ul>" for k in range(12)]
+    want = [f"Head {k}\n\nOne & two <{k}>\n\nThree four five {k}{' more' * k}\n\na{k}\n\nb {k}" for k in range(12)]
     data = [(k, f"https://h.example.com/{k}", page(k, b)) for k, b in enumerate(bodies)]
     data += [(50, "http://single.example", "<body><p>Lone<p>page</body>"), (51, None, None), (52, "x", ""), (None, "http://single.example", "plain < text"), (53, "http://h.example.com/cut", page(9, "<p>cut")[:330]), (0, data[0][1], data[0][2])]
     out = by_id(html.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string").withColumn("text", F.lit(1))))
@@ -523,7 +547,33 @@ def test_slots_keep_all_of_an_article(spark):
         for k in range(6):
             assert out[100 * f + k][0].text.split("\n\n") == [f"Head {k}", words(12, k), words(28, k + 50)], frames[f]
     for k in range(200):
-        assert out[1000 + k][0].text == (f"Same top\n\n{words(9, k)}\n\nUpdate" if k == 77 else words(9, k))
+        assert out[1000 + k][0].text == (f"{words(9, k)}\n\nUpdate" if k == 77 else words(9, k))
+
+
+def test_template_text_is_taken_out(spark):
+    words = lambda n, k: " ".join(f"w{k}x{j}" for j in range(n))
+    frames = (
+        # a constant advert without a telling name inside the article
+        '<body><nav><a href="/">Home</a></nav><article><h1>Head {0}</h1><p>{1}</p><div class="q7"><p>Buy our things <b>now</b></p></div><p>{2}</p></article></body>',
+        # a constant block longer than the story, in blocks without telling names
+        '<body><div class="q1">' + words(60, "same") + '</div><div class="q2"><h1>Head {0}</h1><p>{1}</p><p>{2}</p></div></body>',
+        # a menu and a notice without telling names, no article
+        '<body><div class="z1"><ul><li>Start<li>News</ul></div><div class="z2"><h1>Head {0}</h1><p>{1}</p><p>{2}</p></div><div class="z3">All rights reserved</div></body>',
+        '<body class="no-sidebar single-post"><div class="article-header"><h1>Head {0}</h1></div><p class="notice-board">{1}</p><p>{2}</p><p>Read more on our pages</p></body>',
+    )
+    data = [(100 * f + k, f"http://t{f}.example/{k}", frame.format(k, words(9, k), words(14, k + 50))) for f, frame in enumerate(frames) for k in range(8)]
+    # pages that are copies of one article keep it, and so does a text that most pages share
+    data += [(1000 + k, f"http://copies.example/{k}", f"<body><article><p>{words(20, 1)}</p></article></body>") for k in range(7)]
+    data += [(2000 + k, f"http://often.example/{k}", f"<body><article><p>{'Shared words' if k else 'Own words'}</p><p>{words(20, k)}</p></article></body>") for k in range(9)]
+    out = by_id(html.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")))
+    changed = 0
+    for i, _, h in data[:32]:
+        k = i % 100
+        assert out[i][0].text.split("\n\n") == [f"Head {k}", words(9, k), words(14, k + 50)], frames[i // 100]
+        changed += out[i][0].text != html.main_text(h, None)
+    assert changed == 32
+    assert all(out[1000 + k][0].text == words(20, 1) for k in range(7))
+    assert all(out[2000 + k][0].text == f"{'Shared words' if k else 'Own words'}\n\n{words(20, k)}" for k in range(9))
 
 
 def test_templates_beyond_the_broadcast_bound(spark, sf, monkeypatch):
