@@ -26,10 +26,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def _beside(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that ``docs`` hasn't."""
+    longest = max((len(c) for c in docs.columns), default=0)
+    return [f"{n}_{'x' * longest}" for n in names]
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates its least id stays, once; documents without an id stay."""
+    """Of each group of near-duplicates its least id stays.
+
+    Documents without an id stay.  Rows of a kept id stay once for each of
+    their texts: of repeated rows the one of the least hash.
+    """
     stay = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    once = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    t, h = _beside(docs, "t", "h")
+    rows = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").withColumns({t: F.xxhash64("text"), h: F.xxhash64(*docs.columns)})
+    least = rows.groupBy("doc_id", t).agg(F.min(h).alias(h))
+    once = rows.join(least, ["doc_id", t, h], "left_semi").dropDuplicates(["doc_id", t])
     return once.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
@@ -39,14 +52,20 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; a document without an id goes by its text."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    keyed = docs.withColumn("_key", key)
-    copies = mix_sources(keyed, id_col="_key").filter("taken > 0").groupBy("_key").agg(F.max(F.expr("cast(taken div size as int)")).alias("_copies"))
-    copies = written(copies, "copies")
-    if copies.count() <= BROADCAST_COPIES:
-        copies = F.broadcast(copies)
-    return keyed.join(copies, "_key").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    """Each document as often as the mix takes it.
+
+    Rows of equal id and text are exchangeable: one of them comes as often as
+    the mix takes all of them.
+    """
+    key, copies, rows, at = _beside(docs, "key", "copies", "rows", "at")
+    keyed = docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    taken = mix_sources(keyed, id_col=key).groupBy(key).agg(F.sum(F.expr("cast(taken div greatest(size, 1) as int)")).cast("int").alias(copies), F.count("*").alias(rows))
+    taken = written(taken.filter(F.col(copies) > 0), "copies")
+    if taken.count() <= BROADCAST_COPIES:
+        taken = F.broadcast(taken)
+    found = keyed.join(taken, key)
+    once = found.filter(F.col(rows) == 1).unionByName(found.filter(F.col(rows) > 1).dropDuplicates([key]))
+    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias(at)).drop(at)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
