@@ -8,12 +8,15 @@ from .longmatches import long_match_dedup
 from .media import media_columns
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .oracle import ORACLE_SQL
 from .packing import pack_documents
 from .quality import quality_rules, train
 from .secrets import secret_spans
 from .shared import documents
 from .substrings import substring_dedup
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def _quality(spark, sf):
     docs = documents(spark, sf)
@@ -32,5 +35,3 @@ QUERIES = {
     "op9_packing": lambda spark, sf: pack_documents(documents(spark, sf)),
     "op10_media": lambda spark, sf: media_columns(documents(spark, sf)),
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -17,8 +17,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import anchors, brown, components, html, longmatches, media, minhash, mixing, packing, quality, rindex, secrets, substrings
+from millrace.llm.queries import ORACLE_SQL, QUERIES
 from millrace.llm.words import Words, chunks, text_bytes
 
+from ..compare import both
 from . import plain
 
 SHA = lambda b: hashlib.sha256(b).hexdigest()
@@ -35,6 +37,15 @@ def by_id(df):
     return out
 
 
+# queries with SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf, name):
+    (cols, ours), (their_cols, theirs) = both(spark, QUERIES[name], ORACLE_SQL[name], sf)
+    assert cols == their_cols and ours == theirs
+
+
 # words
 
 
@@ -123,6 +134,22 @@ def test_trees_learn_and_stay_monotonic():
     assert quality.fit(x, np.ones(3000)).probability(x[:2]).min() > 0.99
 
 
+def test_flattened_trees_equal_a_walk_from_node_to_node():
+    rng = np.random.default_rng(7)
+    x = np.round(rng.random((1500, 4)), 2)  # values that meet thresholds
+    m = quality.fit(x, ((x[:, 0] + x[:, 1] * x[:, 2]) > 0.8).astype(float), falling=(3,))
+
+    def walk(row):
+        total = m.start
+        for k in m.roots:
+            while m.left[k] != k:
+                k = m.left[k] + (row[m.feature[k]] > m.threshold[k])
+            total += m.value[k]
+        return total
+
+    assert len(m.roots) == 60 and np.allclose(m.margin(x), [walk(r) for r in x])
+
+
 def test_quality_on_held_out_labels(spark, sf):
     """Trained on part of the labels, the trees reject what the others call bad and keep what they call good."""
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
