@@ -1,7 +1,8 @@
 """A corpus made ready for training, stage by stage.
 
-Each stage takes what its predecessor kept, with the columns of ``documents``;
-the last one packs.  Stages use the operators of ``millrace.llm`` as the
+Each stage takes what its predecessor kept, with the columns of ``documents``
+and any others, whatever their names; the last one packs.  Of an empty table
+each makes an empty one.  Stages use the operators of ``millrace.llm`` as the
 registered queries do.
 """
 
@@ -22,7 +23,11 @@ BROADCAST_COPIES = 500_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the trees reject go."""
+    """Documents that the rules or the trees reject go.
+
+    Null, empty and wordless texts fail the rules, with an id or without one;
+    repeated rows are judged alike, each by itself.
+    """
     return keep_quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -35,7 +40,8 @@ def _beside(docs: DataFrame, *names: str) -> list[str]:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates its least id stays.
 
-    Documents without an id stay.  Rows of a kept id stay once for each of
+    Documents without an id stay, and so do null, empty and wordless texts,
+    which are like nothing.  Rows of a kept id stay once for each of
     their texts: of repeated rows the one of the least hash.
     """
     stay = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
@@ -47,15 +53,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are blanked out of the texts; all documents stay."""
+    """Secrets are blanked out of the texts; all documents stay.
+
+    Null and empty texts stay as they are; repeated rows are blanked alike;
+    ``n_chars`` is renewed where a text changes.
+    """
     return redact_secrets(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it.
 
-    Rows of equal id and text are exchangeable: one of them comes as often as
-    the mix takes all of them.
+    Null texts and texts without words have no size and are not taken; a null
+    source is a source of its own.  Rows of equal id and text are
+    exchangeable: one of them comes as often as the mix takes all of them.
     """
     key, copies, rows, at = _beside(docs, "key", "copies", "rows", "at")
     keyed = docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.sha2(F.coalesce("text", F.lit("")), 256)))
@@ -69,7 +80,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 1024 tokens."""
+    """Pieces of the documents in sequences of at most 1024 tokens.
+
+    A null or empty text is its end id; rows with equal or null ids are packed
+    one by one.
+    """
     return pack_documents(docs)
 
 
