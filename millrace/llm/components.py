@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_written, written
+from .shared import drop_written, join_by_key, written
 
 #: Edges that one partition of an intermediate table holds about.
 EDGES_PER_PART = 500_000
@@ -18,10 +18,10 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star over edges (u, v) with v < u."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    # large: larger neighbours of u go to the least of u and its neighbours
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    # small: u and its smaller neighbours go to the least of them
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+    # large: larger neighbours of u go to the least of u and its neighbours; a centre of very many is broadcast
+    large = join_by_key(both.filter("v > u"), least, ["u"], "c").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # small: u and its smaller neighbours, few after the large star, go to the least of them
     down = large.groupBy("u").agg(F.min("v").alias("m"))
     moved = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(down.select("u", F.col("m").alias("v"))).distinct()

@@ -103,17 +103,22 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, sig array<int>")
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs with a part of their centre's: ``c`` is how many partners the centre may have, and a part has about ``PER_CENTRE``."""
+    salts = F.ceil(F.col("c") / PER_CENTRE)
+    return pairs.select("u", "v", "c", salts.alias("salts"), F.pmod(F.xxhash64("v"), salts).alias("salt"))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (u, v), those whose full sets are similar enough.
+    """Of the pairs (u, v, c), those whose full sets are similar enough.
 
-    A centre u and up to ``PER_CENTRE`` of its partners go to a task together,
-    the centre first; the task keeps one set and streams the others past it.
+    A centre u and a part of its partners go to a task together, the centre
+    first; the task keeps one set and streams the others past it.
     """
-    salted = pairs.join(pairs.groupBy("u").agg(F.ceil(F.count("*") / PER_CENTRE).alias("salts")), "u")
-    salted = salted.select("u", "v", F.pmod(F.xxhash64("v"), "salts").alias("salt"))
-    centres = salted.select("u", "salt").distinct().join(texts, F.col("u") == F.col("id")).select("u", "salt", F.lit(None).cast(texts.schema["id"].dataType).alias("v"), "text")
-    members = salted.join(texts, F.col("v") == F.col("id")).select("u", "salt", "v", "text")
-    rows = centres.unionByName(members).repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("v").isNotNull())
+    salted = _dealt(pairs)
+    centres = salted.select("u", "salts", "salt").distinct().join(texts, F.col("u") == F.col("id")).select("u", "salts", "salt", F.lit(None).cast(texts.schema["id"].dataType).alias("v"), "text")
+    members = salted.join(texts, F.col("v") == F.col("id")).select("u", "salts", "salt", "v", "text")
+    rows = centres.unionByName(members).repartition("u", "salts", "salt").sortWithinPartitions("u", "salts", "salt", F.col("v").isNotNull())
 
     def similar(centre, mine):
         if not len(centre):
@@ -125,15 +130,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         key, centres = None, []  # a centre has as many sets as its id has texts
         for b in chunks(batches, "text", CHUNK):
-            values, first = shingle_sets(b.column(3))
-            us, salts, vs, keep = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), []
-            for k, (u, salt, v) in enumerate(zip(us, salts, vs)):
+            values, first = shingle_sets(b.column(4))
+            parts, keep = zip(*(b.column(k).to_pylist() for k in range(3))), []
+            for k, (part, v) in enumerate(zip(parts, b.column(3).to_pylist())):
                 mine = values[first[k] : first[k + 1]]
                 if v is None:
-                    if key != (u, salt):
-                        key, centres = (u, salt), []
+                    if key != part:
+                        key, centres = part, []
                     centres.append(np.sort(mine))
-                elif key == (u, salt) and len(mine) and any(similar(c, mine) for c in centres):
+                elif key == part and len(mine) and any(similar(c, mine) for c in centres):
                     keep.append(k)
             yield b.take(pa.array(keep, pa.int64())).select(["u", "v"])
 
@@ -142,7 +147,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _across(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components that can be similar enough, among the documents of ``placed`` (key, id, comp).
+    """Pairs (u, v, c) of different components that can be similar enough, among the documents of ``placed`` (key, id, comp).
 
     Two sets of a similarity of 75 % share a shingle among the rarest 25 % of
     each (prefix filtering), whatever their buckets.  What very many documents
@@ -177,7 +182,7 @@ def _across(placed: DataFrame, texts: DataFrame) -> DataFrame:
     # from the rarest shingle that two sets share on, no more than the shorter rest can be shared
     most = F.least("p.rest", "q.rest")
     fits = (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.odd") == 0) | (F.col("p.id") < F.col("q.id"))) & (100 * most >= SIMILAR * (F.col("p.n") + F.col("q.n") - most))
-    pairs = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.salt") == F.col("q.salt")) & fits).select(F.least("p.id", "q.id").alias("u"), F.greatest("p.id", "q.id").alias("v")).distinct()
+    pairs = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.salt") == F.col("q.salt")) & fits).select(F.least("p.id", "q.id").alias("u"), F.greatest("p.id", "q.id").alias("v"), (F.col("p.salts") * HOT).alias("c")).groupBy("u", "v").agg(F.max("c").alias("c"))
     pairs = written(pairs, "across")
     drop_written(sets, rarity, rows, largest)
     return pairs
@@ -201,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = reps.select(F.col("rep").alias("id"), F.explode(bands).alias("key"))
     shared = written(keyed.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("c")).filter("c > 1"), "shared")
     members = written(join_by_key(keyed, shared, ["key"], "c"), "buckets")
-    stars = members.filter("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
+    stars = members.filter("id <> centre").groupBy(F.col("centre").alias("u"), F.col("id").alias("v")).agg(F.max("c").alias("c"))
 
     ids = written(members.select("id").distinct(), "candidates")
     n = ids.count()
@@ -213,7 +218,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         a, b = (sigs.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "uv")
         same = F.size(F.filter(F.zip_with("su", "sv", lambda x, y: x == y), lambda x: x))
         near = (100 * F.least("nu", "nv") >= SIMILAR * F.greatest("nu", "nv")) & (same >= int(SLACK * HASHES))
-        return pairs.join(b, "v").join(a, "u").filter(near).select("u", "v").distinct()
+        part = ["u", "salts", "salt"]
+        dealt = _dealt(pairs)
+        centres = dealt.select(part).distinct().join(a, "u")
+        return dealt.join(b, "v").join(centres, part).filter(near).groupBy("u", "v").agg(F.max("c").alias("c"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = written(alike(pairs), "pairs")
@@ -233,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = written(mixed, "mixed-keys")
     crowd = written(join_by_key(placed, mixed, ["key"], "c").select("key", "id", "comp"), "mixed")
     across = _across(crowd, texts)
-    more = linked(across.join(stars, ["u", "v"], "left_anti"))
+    more = linked(across.join(stars.select("u", "v"), ["u", "v"], "left_anti"))
     if more.head(1):
         first, comps = comps, connected_components(links.unionByName(own).unionByName(more))
         drop_written(first)
