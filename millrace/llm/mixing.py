@@ -25,14 +25,14 @@ from .shared import written
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3.0
 #: Documents of a block, and residuals that meet in a node of the tree.
-BLOCK, FAN_IN = 1024, 64
+BLOCK, FAN_IN = 512, 64
 #: Tasks that blocks are dealt to at most.
 MOST_TASKS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
-    """``source, source_size, target`` from ``source, size``, one row per source.
+    """``source, source_size, docs, target`` from ``source, size``, one row per source.
 
     Sources rank by code point, null last, and weigh ``weights`` in turn.  The
     total is shared by weight; no source gets more than ``max_repeats`` times
@@ -41,13 +41,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_R
     ranking sources by cap / weight.  The table has a row per source, so its
     windows are small whatever the number of documents.
     """
-    s = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
+    s = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"), F.count("*").alias("docs"))
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     ranks = F.row_number().over(order) - 1
     w = F.lit(float(weights[-1]))
     for k in range(len(weights) - 2, -1, -1):
         w = F.when(ranks % len(weights) == k, F.lit(float(weights[k]))).otherwise(w)
-    s = s.select("source", "source_size", w.alias("_w"), (F.col("source_size") * F.lit(float(max_repeats))).alias("_cap"))
+    s = s.select("source", "source_size", "docs", w.alias("_w"), (F.col("source_size") * F.lit(float(max_repeats))).alias("_cap"))
     by_ratio = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").isNull(), F.col("source"))
     total = F.sum("source_size").over(Window.partitionBy())
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_R
     level = (total - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after)
     s = s.select("*", level.alias("_level"))
     free = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct(F.col("_cap") / F.col("_w"), "_level"))).over(Window.partitionBy())
-    return s.select("source", "source_size", F.least("_cap", F.coalesce(free["_level"] * F.col("_w"), F.col("_cap"))).cast("double").alias("target"))
+    return s.select("source", "source_size", "docs", F.least("_cap", F.coalesce(free["_level"] * F.col("_w"), F.col("_cap"))).cast("double").alias("target"))
 
 
 def _uniform(seed: int, block: str, n: int) -> np.ndarray:
@@ -139,9 +139,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = -(-(n["most"] or 0) // BLOCK) or 1
     tasks = max(1, min(-(-(n["all"] or 0) // BLOCK), MOST_TASKS))
 
-    rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "d.block")
+    rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "d.block", F.ceil(F.col("t.docs") / BLOCK).alias("blocks"))
     copies = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumns({"whole": F.floor(copies).cast("long"), "part": copies - F.floor(copies), "block": F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "block"), F.lit(blocks))})
+    rows = rows.withColumns({"whole": F.floor(copies).cast("long"), "part": copies - F.floor(copies), "block": F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "block"), "blocks")}).drop("blocks")
     schema = f"doc_id {kind}, source string, size long, source_size long, target double, whole long, part double, block long, open boolean"
 
     def level(frame: DataFrame, step: int) -> DataFrame:
