@@ -36,7 +36,7 @@ WINDOW, GRAM = 200, 32
 #: Windows of a piece, from level to level.
 PIECES = (43, 8, 1)
 #: Bytes of an index, of one group in it, and strings of one group in a chunk of text from which on it is known to be too large.
-INDEX_BYTES, GROUP_BYTES, CROWD = 1 << 20, 1 << 18, 4
+INDEX_BYTES, GROUP_BYTES, CROWD = 1 << 18, 1 << 18, 4
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 
@@ -147,8 +147,8 @@ def _indexed(rows: list[tuple], body: list[bytes]):
     count = np.ones(len(strings), np.int64)
     np.maximum.at(count, of, np.where(other, 2, np.minimum(places, 2)))
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in strings])]).astype(np.int64)
-    index = RunLengthIndex(np.frombuffer(b"".join(strings), np.uint8), offsets, count)
-    at = np.flatnonzero((index.matching() >= WINDOW) & (index.rest >= WINDOW))
+    index = RunLengthIndex(np.frombuffer(b"".join(strings), np.uint8), offsets, count, WINDOW)
+    at = np.flatnonzero(index.matching() >= WINDOW)
     if not len(at):
         return None
     new = np.ones(len(at), bool)
@@ -168,6 +168,11 @@ def _match(width: int):
         """Sorted pieces -> matches, and the pieces of groups too large for an index (``over``)."""
         rows, body, size, key, group, group_size, over, seen = [], [], 0, None, 0, 0, False, set()
         for b in batches:
+            # most strings have no company: they go here unless the batch's edge hides it
+            k1, k2, flagged, places = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 8))
+            new = changes([k1, k2])
+            new[:1] = key is None or [(x, y) != key for x, y in zip(k1[:1].tolist(), k2[:1].tolist())]
+            b = b.filter(pa.array(~(new & np.append(new[1:], False) & ~flagged & (places == 1))))
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             crowded, bodies, again = b.column(2).to_pylist(), b.column(11).to_pylist(), []
             for k, row in enumerate(zip(*(b.column(k).to_pylist() for k in range(3, 11)))):

@@ -411,7 +411,7 @@ def test_short_lines_in_many_surroundings(spark, monkeypatch):
 def test_run_length_index():
     rng = np.random.default_rng(1)
     for trial in range(40):
-        s = [rng.integers(0, 1 + rng.integers(1, 4), rng.integers(0, 30)).astype(np.uint8) for _ in range(rng.integers(1, 10))]
+        s = [rng.integers(0, 1 + rng.integers(1, 4), rng.integers(0, 60 if trial % 4 == 0 else 30)).astype(np.uint8) for _ in range(rng.integers(1, 10))]
         s.append(s[0])
         index = rindex.RunLengthIndex(np.concatenate(s), np.concatenate([[0], np.cumsum([len(x) for x in s])]))
         texts = [x.tobytes() for x in s]
@@ -423,7 +423,13 @@ def test_run_length_index():
                 n += 1
             return n
 
-        assert list(index.matching()) == [max((common(a, b) for b in at if b != a), default=0) for a in at]
+        longest = [max((common(a, b) for b in at if b != a), default=0) for a in at]
+        assert list(index.matching()) == longest
+        for least in (2, 3, 5, 8, 13, 21):
+            part = rindex.RunLengthIndex(np.concatenate(s), np.concatenate([[0], np.cumsum([len(x) for x in s])]), least=least)
+            got = part.matching()
+            assert [(x, m) for x, m in enumerate(got) if m >= least] == [(x, m) for x, m in enumerate(longest) if m >= least]
+            assert len(part.heads) <= len(index.heads) and part.open.sum() == sum(max(len(t) - least + 1, 0) for t in texts)
     assert len(index.heads) <= index.n
 
 
