@@ -1,10 +1,11 @@
 """ISO media containers: write, walk and read back.
 
-``walk`` follows nested boxes, decodes the sample tables of every track and
-gives codec, duration and the times and byte ranges of keyframes; it never
-looks into ``mdat``.  Whatever is not well formed, or claims more than
-``MOST_SAMPLES`` samples, is a ``MediaError``.  ``wrap`` stores a payload losslessly as 8-bit samples in such a
-container, so that a column of bytes can be tested end to end.
+``walk`` follows nested boxes, decodes the sample tables of every track, those
+of movie fragments included, and gives codec, duration and the times and byte
+ranges of keyframes; it never looks into ``mdat``.  Whatever is not well
+formed, or claims more than ``MOST_SAMPLES`` samples, is a ``MediaError``.
+``wrap`` stores a payload losslessly as 8-bit samples in such a container, so
+that a column of bytes can be tested end to end.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ from pyspark.sql import DataFrame
 
 # Fixed values of the format: boxes that hold boxes, and the header bytes before their children.
 CONTAINERS = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "edts": 0, "dinf": 0, "udta": 0, "mvex": 0, "moof": 0, "traf": 0}
+# Fixed values of the format: optional fields of a track fragment, of a run of samples and of each of them, by their flag; the flag of a sample that is no keyframe.
+FRAGMENT = ((0x01, "base", "Q"), (0x02, "entry", "I"), (0x08, "duration", "I"), (0x10, "size", "I"), (0x20, "flags", "I"))
+RUN = ((0x01, "offset", "i"), (0x04, "flags", "I"))
+SAMPLE = ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift"))
+BASE_IS_MOOF, NO_KEYFRAME = 0x20000, 0x10000
 #: Samples per second of a stored payload, samples in a chunk, and chunks from one keyframe to the next.
 RATE, PER_CHUNK, KEY_EVERY = 8000, 4096, 8
 #: Boxes in one another, and samples of a track, beyond which a file is refused.
@@ -121,42 +127,113 @@ def _table(data, at: int, end: int, row: str) -> list[tuple]:
 
 
 def walk(data) -> list[dict]:
-    """Per track: codec, handler, timescale, duration, sample sizes and byte ranges, keyframe numbers."""
+    """Per track: codec, handler, timescale, duration, byte ranges of samples and keyframes, times of keyframes."""
     tracks: list[dict] = []
+    usual: dict[int, dict] = {}  # what samples of fragments are unless these say otherwise, by track
+    start = stop = after = 0  # of the outermost box; where the data of the last run ended
+    fragment: dict = {}
     for path, at, end in boxes(data):
         kind = path.rsplit("/", 1)[1]
-        if kind == "trak":
-            tracks.append({})
-        if not tracks or "/trak" not in path:
-            continue
-        t = tracks[-1]
+        if path.count("/") == 1:
+            start, stop = stop, end
+            after = start
         try:
-            if kind == "mdhd":
-                t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-            elif kind == "hdlr":
-                t["handler"] = bytes(data[at + 8 : at + 12]).decode("latin-1")
-            elif kind == "stsd":
-                t["codec"] = next((p.rsplit("/", 1)[1] for p, _, _ in boxes(data, at + 8, end)), "")
-            elif kind == "stts":
-                t["times"] = _table(data, at, end, "II")
-            elif kind == "stsc":
-                t["per_chunk"] = _table(data, at, end, "III")
-            elif kind == "stsz":
-                same, n = struct.unpack_from(">II", data, at + 4)
-                if n > MOST_SAMPLES or not same and at + 12 + 4 * n > end:
-                    raise MediaError(f"table at {at} has {n} rows")
-                t["sizes"] = [same] * n if same else list(struct.unpack_from(f">{n}I", data, at + 12))
-            elif kind in ("stco", "co64"):
-                t["chunks"] = [x for (x,) in _table(data, at, end, "I" if kind == "stco" else "Q")]
-            elif kind == "stss":
-                t["keys"] = [x for (x,) in _table(data, at, end, "I")]
+            if kind == "trak":
+                tracks.append({})
+            elif path == "/moov/mvex/trex":
+                track, _, *values = struct.unpack_from(">5I", data, at + 4)
+                usual[track] = dict(zip(("duration", "size", "flags"), values))
+            elif path == "/moof/traf":
+                fragment = {}
+            elif path == "/moof/traf/tfhd":
+                fragment = _fragment(data, at, end, tracks, usual, start, after)
+            elif path == "/moof/traf/tfdt" and fragment:
+                (fragment["track"]["clock"],) = struct.unpack_from(">Q" if data[at] == 1 else ">I", data, at + 4)
+            elif path == "/moof/traf/trun":
+                after = _run(data, at, end, fragment)
+            elif "/trak/" in path:
+                _read(tracks[-1], kind, data, at, end)
         except struct.error as e:
             raise MediaError(f"{path}: {e}") from e
     return [_placed(t) for t in tracks]
 
 
+def _read(t: dict, kind: str, data, at: int, end: int) -> None:
+    """What a box in a track says of it."""
+    if kind == "tkhd":
+        (t["id"],) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
+    elif kind == "mdhd":
+        t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+    elif kind == "hdlr":
+        t["handler"] = bytes(data[at + 8 : at + 12]).decode("latin-1")
+    elif kind == "stsd":
+        t["codec"] = next((p.rsplit("/", 1)[1] for p, _, _ in boxes(data, at + 8, end)), "")
+    elif kind == "stts":
+        t["times"] = _table(data, at, end, "II")
+    elif kind == "stsc":
+        t["per_chunk"] = _table(data, at, end, "III")
+    elif kind == "stsz":
+        same, n = struct.unpack_from(">II", data, at + 4)
+        if n > MOST_SAMPLES or not same and at + 12 + 4 * n > end:
+            raise MediaError(f"table at {at} has {n} rows")
+        t["sizes"] = [same] * n if same else list(struct.unpack_from(f">{n}I", data, at + 12))
+    elif kind in ("stco", "co64"):
+        t["chunks"] = [x for (x,) in _table(data, at, end, "I" if kind == "stco" else "Q")]
+    elif kind == "stss":
+        t["keys"] = [x for (x,) in _table(data, at, end, "I")]
+
+
+def _given(data, at: int, end: int, flags: int, fields) -> tuple[dict, int]:
+    """The optional fields that ``flags`` say are there, and where they end."""
+    out = {}
+    for flag, name, form in fields:
+        if flags & flag:
+            (out[name],) = struct.unpack_from(">" + form, data, at)
+            at += struct.calcsize(">" + form)
+    if at > end:
+        raise MediaError(f"box ends at {end}, its fields at {at}")
+    return out, at
+
+
+def _fragment(data, at: int, end: int, tracks: list[dict], usual: dict, moof: int, after: int) -> dict:
+    """A track's part of a movie fragment: its track, what its samples are by default, and where its offsets count from."""
+    flags, ident = struct.unpack_from(">II", data, at)
+    got, _ = _given(data, at + 8, end, flags, FRAGMENT)
+    track = next((t for t in tracks if t.get("id") == ident), None)
+    if track is None:
+        raise MediaError(f"fragment at {at} is of no track")
+    track.setdefault("clock", sum(n * d for n, d in track.get("times", [])))
+    base = got.pop("base", moof if flags & BASE_IS_MOOF else after)
+    return {"track": track, "base": base, "next": base, "usual": {"duration": 0, "size": 0, "flags": 0} | usual.get(ident, {}) | got}
+
+
+def _run(data, at: int, end: int, fragment: dict) -> int:
+    """Add a run of samples to its track; where their data ends."""
+    flags, n = struct.unpack_from(">II", data, at)
+    first, at = _given(data, at + 8, end, flags, RUN)
+    names = [name for flag, name in SAMPLE if flags & flag]
+    row = struct.Struct(f">{len(names)}I")
+    if not fragment:
+        raise MediaError(f"run at {at} before its fragment's header")
+    track = fragment["track"]
+    samples = track.setdefault("fragments", [])
+    if at + n * row.size > end or len(samples) + n > MOST_SAMPLES:
+        raise MediaError(f"run at {at} has {n} samples")
+    place = fragment["base"] + first.pop("offset") if "offset" in first else fragment["next"]
+    if place < 0:
+        raise MediaError(f"run at {at} begins before the file")
+    for k in range(n):
+        own = dict(zip(names, row.unpack_from(data, at + k * row.size)))
+        s = fragment["usual"] | (first if k == 0 else {}) | own
+        samples.append((place, place + s["size"], track["clock"], not s["flags"] & NO_KEYFRAME))
+        place += s["size"]
+        track["clock"] += s["duration"]
+    fragment["next"] = place
+    return place
+
+
 def _placed(t: dict) -> dict:
-    """The track with the byte range of each sample, from its chunk table."""
+    """The track with the byte range of each sample, from its chunk table and its fragments."""
     sizes, chunks, runs = t.get("sizes", []), t.get("chunks", []), t.get("per_chunk", [])
     at, sample = [], 0
     for i, (first, n, _) in enumerate(runs):
@@ -173,8 +250,13 @@ def _placed(t: dict) -> dict:
         raise MediaError(f"{len(sizes)} samples, {sample} placed")
     keys = [k for k in t.get("keys", range(1, len(sizes) + 1)) if 1 <= k <= len(at)]
     times = _key_times(t.get("times", []), keys)
-    scale = t.get("timescale") or 1
-    return {"codec": t.get("codec", ""), "handler": t.get("handler", ""), "timescale": scale, "duration": t.get("duration", 0), "samples": at, "keyframes": [at[k - 1] for k in keys], "key_times": times}
+    frames, scale, duration = [at[k - 1] for k in keys], t.get("timescale") or 1, t.get("duration", 0)
+    if more := t.get("fragments"):
+        at += [(a, b) for a, b, _, _ in more]
+        frames += [(a, b) for a, b, _, key in more if key]
+        times += [time for _, _, time, key in more if key]
+        duration = max(duration, t["clock"])
+    return {"codec": t.get("codec", ""), "handler": t.get("handler", ""), "timescale": scale, "duration": duration, "samples": at, "keyframes": frames, "key_times": times}
 
 
 def _key_times(runs: list[tuple], keys: list[int]) -> list[int]:

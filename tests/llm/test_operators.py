@@ -822,6 +822,50 @@ def test_broken_containers():
     assert [p for p, _, _ in media.boxes(long)] == ["/free"]
 
 
+def fragmented(offset_of_second=None):
+    """Two tracks in two fragments; the second fragment's runs follow one another without offsets."""
+    box, full, pack = media._box, media._full, struct.pack
+
+    def trak(i, codec):
+        stbl = box("stbl", full("stsd", pack(">I", 1), box(codec, b"\0" * 8)), *(full(k, pack(">I", 0)) for k in ("stts", "stsc", "stco")), full("stsz", pack(">II", 0, 0)))
+        mdia = box("mdia", full("mdhd", pack(">IIIIHH", 0, 0, 1000 * i, 0, 0, 0)), full("hdlr", b"\0" * 4, b"vide", b"\0" * 13), box("minf", stbl))
+        return box("trak", full("tkhd", pack(">IIIII", 0, 0, i, 0, 0)), mdia)
+
+    trex = [full("trex", pack(">5I", i, 1, 40 * i, 6, 0x10000 * (i == 1))) for i in (1, 2)]
+    head = box("ftyp", b"isom", b"\0" * 4) + box("moov", trak(1, "avc1"), trak(2, "mp4a"), box("mvex", *trex))
+
+    def first(at):
+        video = box("traf", full("tfhd", pack(">I", 1), flags=0x20000), full("tfdt", pack(">Q", 500), version=1), full("trun", pack(">IiI3I", 3, at, 0, 5, 4, 3), flags=0x205))
+        sound = box("traf", full("tfhd", pack(">I", 2)), full("trun", pack(">I", 2)))
+        return box("moof", full("mfhd", pack(">I", 1)), video, sound)
+
+    one = first(len(first(0)) + 8) + box("mdat", b"AAAAABBBBCCC" + b"abcdefghijkl")
+    base = len(head) + len(one)
+
+    def second(at):
+        video = box("traf", full("tfhd", pack(">IQI", 1, base, 25), flags=0x9), full("trun", pack(">Ii6I", 2, at, 30, 2, 0x10000, 20, 4, 0), flags=0x701), full("trun", pack(">I", 1)))
+        return box("moof", full("mfhd", pack(">I", 2)), video)
+
+    at = len(second(0)) + 8 if offset_of_second is None else offset_of_second
+    return head + one + second(at) + box("mdat", b"DDEEEEFFFFFF")
+
+
+def test_fragments():
+    stored = fragmented()
+    video, sound = media.walk(stored)
+    assert media.read_back(stored, video) == b"AAAAABBBBCCCDDEEEEFFFFFF" and media.read_back(stored, sound) == b"abcdefghijkl"
+    assert [stored[a:b] for a, b in video["keyframes"]] == [b"AAAAA", b"EEEE"] and [stored[a:b] for a, b in sound["keyframes"]] == [b"abcdef", b"ghijkl"]
+    assert video["key_times"] == [500, 500 + 3 * 40 + 30] and sound["key_times"] == [0, 80]
+    assert (video["codec"], video["timescale"], video["duration"]) == ("avc1", 1000, 500 + 3 * 40 + 30 + 20 + 25) and sound["duration"] == 160
+    many = stored.replace(struct.pack(">I4sII", 16, b"trun", 0, 2), struct.pack(">I4sII", 16, b"trun", 0, (1 << 32) - 1))
+    no_track = stored.replace(struct.pack(">I4sII", 16, b"tfhd", 0, 2), struct.pack(">I4sII", 16, b"tfhd", 0, 3))
+    cut = stored.replace(struct.pack(">I4sII", 16, b"trun", 0, 1), struct.pack(">I4sII", 16, b"trun", 0xFFF, 1))
+    for bad in (many, no_track, cut, fragmented(-10_000)):
+        assert bad != stored
+        with pytest.raises(media.MediaError):
+            media.walk(bad)
+
+
 def test_media_columns(edge_docs, edge_rows, no_docs):
     got = by_id(media.media_columns(edge_docs))
     for i, text, _ in edge_rows:
