@@ -278,11 +278,15 @@ def cast_int_narrow_try(spark, sf):
     JOIN (SELECT doc_id, CASE WHEN regexp_full_match(source, 'src[0-9]+') THEN cast(substr(source, 4) AS bigint) END AS s, CASE WHEN regexp_full_match(text, '[+-]?[0-9]+') THEN try_cast(text AS bigint) END AS a FROM documents) USING (doc_id) GROUP BY doc_id"""
 )
 def cast_text_int_try(spark, sf):
-    """Whole texts, and every piece of them between spaces, line breaks included."""
-    df = _table(spark, sf, "documents", "doc_id", "text", "source")
+    """Whole texts, and every piece of them between spaces, line breaks included.
+
+    Texts are cast before they are split, so that no piece carries its text along.
+    """
+    df = _table(spark, sf, "documents", "doc_id", "text", "source").withColumn("s", F.expr("substr(source, 4)"))
+    df = project(df, {c: reference(df, c) for c in ("doc_id", "text")} | {to: try_cast(reference(df, c), INT64) for to, c in (("s", "s"), ("a", "text"))})
     t = F.split(F.concat("text", F.lit(" 12\n +7 -0 99999999999999999999")), " ")
-    df = df.select("doc_id", "text", F.expr("substr(source, 4)").alias("s"), F.explode(t).alias("t"))
-    df = project(df, {"doc_id": reference(df, "doc_id")} | {to: try_cast(reference(df, c), INT64) for to, c in (("v", "t"), ("s", "s"), ("a", "text"))})
+    df = df.select("doc_id", "s", "a", F.explode(t).alias("t"))
+    df = project(df, {c: reference(df, c) for c in ("doc_id", "s", "a")} | {"v": try_cast(reference(df, "t"), INT64)})
     made = {"n": count(), "numbers": count(reference(df, "v")), "total": sum_(reference(df, "v")), "s": max_(reference(df, "s")), "a": max_(reference(df, "a"))}
     return aggregate(df, {"doc_id": reference(df, "doc_id")}, made)
 
